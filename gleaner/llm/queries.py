@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mpeg_audio, piece_bpe, simhash, token_counts, token_shards, warc
+from . import decontaminate, labelled, mpeg_audio, piece_bpe, quality, simhash, token_counts, token_shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,35 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: Scores from which a document counts as toxic, and as good.
+TOXIC, GOOD = 0.3, 0.5
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from labelled documents whose crc32 remainder by 4 is not 2."""
+    learn = labelled.remainder("doc_id", 4) != 2
+    return toxicity.learn(labelled.sample(documents, labels, "toxic", learn, toxicity.SAMPLE), *labelled.totals(labels, "toxic", learn))
+
+
+def quality_model(documents: DataFrame, labels: DataFrame):
+    """Fitted to labelled documents whose crc32 remainder by 3 is not 1."""
+    return quality.fit_forest(labelled.sample(documents, labels, "quality", labelled.remainder("doc_id", 3) != 1, quality.SAMPLE))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity_model(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (labelled.remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = quality.score(documents, quality_model(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (labelled.remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op2_decontamination, op3_token_counts, op4_token_shards, op5_simhash, op6_warc, op7_sentencepiece)
+    f.__name__: f for f in (op1_mpeg_audio, op2_decontamination, op3_token_counts, op4_token_shards, op5_simhash, op6_warc, op7_sentencepiece, op9_toxicity, op10_quality)
 }
 
 ORACLES: dict[str, str] = {
