@@ -116,13 +116,16 @@ def score(df: DataFrame, forest: Forest, text: str = "text", keep: tuple[str | C
     shared = df.sparkSession.sparkContext.broadcast(forest)
     kept = df.select(*keep)
     names = [f"__{i}" for i in range(len(kept.columns))]
-    rows = df.select(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1]) + ", __score double"
+    columns = [(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(keep, names, strict=True)]
+    # A text that is kept anyway is not sent twice.
+    own = names[keep.index(text)] if all(isinstance(c, str) for c in keep) and text in keep else "__text"
+    rows = df.select(*columns, *([F.col(text).cast("string").alias("__text")] if own == "__text" else []))
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "__text") + ", __score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "__text"):
-                scores = shared.value.score(statistics(piece.column("__text")))
+            for piece in slices(batch, own):
+                scores = shared.value.score(statistics(piece.column(own)))
                 yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + [pa.array(scores)], names=[*names, "__score"])
 
     scored = rows.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, labelled, mpeg_audio, piece_bpe, quality, simhash, token_counts, token_shards, toxicity, warc
+from . import block_labeller, decontaminate, labelled, mpeg_audio, piece_bpe, quality, simhash, token_counts, token_shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_labeller.main_text(table(spark, sf_dir, "pages"))
+
+
 #: Scores from which a document counts as toxic, and as good.
 TOXIC, GOOD = 0.3, 0.5
 
@@ -73,7 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op2_decontamination, op3_token_counts, op4_token_shards, op5_simhash, op6_warc, op7_sentencepiece, op9_toxicity, op10_quality)
+    f.__name__: f for f in (op1_mpeg_audio, op2_decontamination, op3_token_counts, op4_token_shards, op5_simhash, op6_warc, op7_sentencepiece, op8_html_extraction, op9_toxicity, op10_quality)
 }
 
 ORACLES: dict[str, str] = {

@@ -146,6 +146,8 @@ class Model:
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
     exceptions: frozenset[str] = frozenset()
+    #: What a misspelled term counts, compared with an exact one.
+    misspelled: float = 0.0
     weights: np.ndarray | None = None
 
 
@@ -158,6 +160,7 @@ class Finder:
 
     def __init__(self, model: Model):
         self.lexicon, self.exceptions = Lexicon(model.terms, model.stems), model.exceptions
+        self.misspelled = model.misspelled
         self.plain: set[str] = set()
         self.matching: dict[str, tuple[str, int]] = {}
 
@@ -186,15 +189,16 @@ class Finder:
     def features(self, texts: list[str]) -> np.ndarray:
         split = [set(words(t)) for t in texts]
         self.learn(set().union(*split))
-        out = np.zeros((len(texts), 6))
+        out = np.zeros((len(texts), 4))
         for i, (tokens, text) in enumerate(zip(split, texts, strict=True)):
             if tokens.isdisjoint(self.matching):
                 continue
             for _, term, distance, quoted in self.hits(text):
-                kind = 1 if term[-1] == "*" else 0 if distance == 0 else 2
-                out[i, kind] += QUOTED_WEIGHT if quoted else 1.0
-        out[:, 3:] = np.minimum(out[:, :3], 1)
-        out[:, :3] = np.minimum(out[:, :3], 4)
+                kind = int(term[-1] == "*")
+                weight = (QUOTED_WEIGHT if quoted else 1.0) * (self.misspelled if distance else 1.0)
+                out[i, kind] += weight
+                out[i, kind + 2] = max(out[i, kind + 2], weight)
+        out[:, :2] = np.minimum(out[:, :2], 4)
         return out
 
 
@@ -205,9 +209,11 @@ def _inside_quotes(before: str, after: str) -> bool:
     return bool(opened) and any(c in right for c in CLOSING)
 
 
-#: Expected weights (of capped counts and of presence: exact, stem, misspelled) and how far data may move them.
-EXPECTED = np.array([-3.0, 0.5, 0.5, 0.3, 4.0, 4.0, 3.0])
-SPREAD = np.array([4.0, 1.0, 1.0, 1.0, 2.0, 2.0, 2.0])
+#: Expected weights (intercept; capped counts of terms and stems; the strongest hit of each) and how far data may move them.
+EXPECTED = np.array([-3.0, 0.5, 0.5, 4.0, 4.0])
+SPREAD = np.array([4.0, 1.0, 1.0, 2.0, 2.0])
+#: What a misspelled term counts at best.
+MISSPELLED = 0.8
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -283,7 +289,7 @@ def learn(sample: DataFrame, n_clean: int, n_toxic: int) -> Model:
     sure = {k: c for k, c in found.items() if _surprise(*c, share) >= SURPRISE}
     stems: list[str] = []
     for stem in sorted((k[2:] for k in sure if k[:2] == "s:"), key=lambda t: (len(t), t)):
-        if any(stem.startswith(s) for s in stems):
+        if any(stem.startswith(s) or s.startswith(stem) for s in stems):
             continue
         extensions = [found[k][0] for k in found if k[:2] == "w:" and k[2:].startswith(stem)]
         # A beginning that one word accounts for is that word, not a stem.
@@ -304,18 +310,21 @@ def learn(sample: DataFrame, n_clean: int, n_toxic: int) -> Model:
                     tokens = set(words(text))
                     finder.learn(tokens)
                     hit = [t for t in tokens if finder.matching.get(t, ("", 0))[1]]
-                    if hit and label == 0:
-                        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.string())], names=["w"])
+                    if hit:
+                        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.string()), pa.array([label] * len(hit), pa.int32()), pa.array([1 / len(hit)] * len(hit))], names=["w", "label", "part"])
 
-    wrong = held.select("text", "label").mapInArrow(run, "w string").groupBy("w").count().orderBy(F.desc("count"), "w").limit(20 * TERMS).collect()
-    model = Model(terms, stems, frozenset(r[0] for r in wrong))
+    misspelt = held.select("text", "label").mapInArrow(run, "w string, label int, part double")
+    docs = dict(misspelt.groupBy("label").agg(F.sum("part")).collect())
+    wrong = misspelt.where("label = 0").groupBy("w").count().orderBy(F.desc("count"), "w").limit(20 * TERMS).collect()
+    right, all_ = docs.get(1, 0.0) + 1, docs.get(0, 0.0) + docs.get(1, 0.0) + 1
+    model = Model(terms, stems, frozenset(r[0] for r in wrong), MISSPELLED * right / all_)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(model)
         for batch in batches:
             for piece in slices(batch, "text"):
                 x = finder.features(piece.column("text").to_pylist())
-                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 6, pa.int32()), pa.array(x.ravel()))
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 4, pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([piece.column("label"), rows], names=["label", "x"])
 
     pairs = sorted((tuple(r["x"]), r["label"]) for r in held.select("label", "text").mapInArrow(measure, "label int, x array<double>").limit(2 * SAMPLE).collect())
@@ -330,18 +339,21 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str | Col
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = df.select(*keep)
     names = [f"__{i}" for i in range(len(kept.columns))]
-    rows = df.select(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1]) + ", __score double"
+    columns = [(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(keep, names, strict=True)]
+    # A text that is kept anyway is not sent twice.
+    own = names[keep.index(text)] if all(isinstance(c, str) for c in keep) and text in keep else "__text"
+    rows = df.select(*columns, *([F.col(text).cast("string").alias("__text")] if own == "__text" else []))
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "__text") + ", __score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         finder = Finder(model)
         for batch in batches:
-            for piece in slices(batch, "__text"):
+            for piece in slices(batch, own):
                 if model.weights is None:
                     scores = np.zeros(piece.num_rows)
                 else:
-                    x = finder.features(piece.column("__text").to_pylist())
+                    x = finder.features(["" if t is None else t for t in piece.column(own).to_pylist()])
                     scores = 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + [pa.array(scores)], names=[*names, "__score"])
 
