@@ -10,11 +10,14 @@ NEVER = float("inf")
 
 def merge(symbols: list[str], rank: Callable[[str, str], float]) -> list[str]:
     """Join adjacent symbols, lowest rank first and leftmost among equals, until no pair has a rank."""
-    if len(symbols) > 64:
-        return _merge_long(symbols, rank)
+    return _merge_long(symbols, rank) if len(symbols) > 64 else merge_until(symbols, rank, 1)
+
+
+def merge_until(symbols: list[str], rank: Callable[[str, str], float], least: int) -> list[str]:
+    """The same for short input, until ``least`` symbols are left."""
     parts = list(symbols)
     ranks = [rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
-    while ranks:
+    while len(parts) > least and ranks:
         low = min(ranks)
         if low == NEVER:
             break

@@ -23,16 +23,15 @@ import codecs
 import hashlib
 import re
 
-import ahocorasick
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 
 from .arrow import per_text
-from .bpe import NEVER, merge
+from .bpe import NEVER, merge, merge_until
+from .tables import Table64, WordMemory, code_points, document_sums
 
 SPACE = "\u2581"
-#: Words whose ids a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 
 
 def _one_byte(error: UnicodeDecodeError):
@@ -71,79 +70,177 @@ class PieceBpe:
         self.direct_only = inner - self.pieces.keys()
         if "\n" in inner or any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces that hold a line end or a space after another character are not handled")
-        self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
         self.inside = re.compile("([^" + re.escape("".join(sorted(inner))) + "])")
-        self.automaton = ahocorasick.Automaton()
-        for piece in self.pieces:
-            if piece.count(SPACE) < 2 and merge(list(piece), self.rank) == [piece]:
-                self.automaton.add_word(piece, (piece, len(piece)))
-        self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.strange = re.compile("[^" + re.escape("".join(sorted(inner - self.direct_only))) + "]").search
+        self._index()
+        self.memory = WordMemory(self.words_ids, "<u4")
+
+    def _index(self) -> None:
+        """Tokens by rank (single characters first, then in the order of merging), their trie, last merges and pairs that merge."""
+        tokens = sorted(self.pieces, key=lambda p: (len(p) > 1, self.score[p]))
+        number = {p: t for t, p in enumerate(tokens)}
+        self.ids = np.array([self.pieces[p] for p in tokens], np.uint32)
+        self.sizes = np.array([len(p) for p in tokens], np.int64)
+        self.longest = int(self.sizes.max())
+        self.left = np.arange(len(tokens))
+        self.right = np.arange(len(tokens))
+        nodes: dict[tuple[int, int], int] = {}
+        accept = [-1]
+        pairs: dict[int, int] = {}
+        for t, p in enumerate(tokens):
+            for k in range(1, len(p)):
+                a, b = number.get(p[:k]), number.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = t
+            if p.count(SPACE) > 1:
+                continue
+            last = merge_until(list(p), self.rank, 2)
+            if len(p) > 1 and (len(last) != 2 or last[0] + last[1] != p or last[0] not in number or last[1] not in number or merge(list(p), self.rank) != [p]):
+                continue  # its own text encodes otherwise, so it never occurs
+            if len(p) > 1:
+                self.left[t], self.right[t] = number[last[0]], number[last[1]]
+            node = 0
+            for c in p:
+                node = nodes.setdefault((node, ord(c)), len(accept))
+                if node == len(accept):
+                    accept.append(-1)
+            accept[node] = t
+        self.accept = np.array(accept)
+        self.edges = Table64(2 * len(nodes))
+        self.edges.put(np.array([(a << 21 | c) + 2 for a, c in nodes], np.uint64), np.fromiter(nodes.values(), np.int64))
+        self.pairs = Table64(2 * len(pairs))
+        self.pairs.put(np.array(list(pairs), np.uint64) + np.uint64(2), np.fromiter(pairs.values(), np.int64))
+        self.fits = Table64(1 << 16)
 
     def rank(self, a: str, b: str) -> float:
         return self.score.get(a + b, NEVER)
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether the joined string of two tokens encodes as just these two."""
-        key = (a, b)
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            found = self.fits[key] = merge(list(a + b), self.rank) == [a, b]
-        return found
-
-    def last_tokens(self, word: str) -> list[str]:
-        """For each prefix of the word, the token with which its encoding ends (at 0: "")."""
-        last = [""] * (len(word) + 1)
-        for end, (token, size) in self.automaton.iter(word):
-            start = end + 1 - size
-            if not start:
-                last[end + 1] = token
-            elif (left := last[start]) and self.compatible(left, token):
-                last[end + 1] = token
+    def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of tokens, whether their joined string encodes as just these two.
+
+        Merges are undone, the latest first; the pair fails if two tokens that
+        meet at the border would have merged before.
+        """
+        a, b = a.copy(), b.copy()
+        good = np.ones(len(a), bool)
+        limit = np.full(len(a), 1 << 40)
+        left = np.arange(len(a))
+        while len(left):
+            x, y = a[left], b[left]
+            joined = self.pairs.get((x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64)) + np.uint64(2))
+            bad = (joined >= 0) & (joined < limit[left])
+            good[left[bad]] = False
+            first = x > y
+            limit[left] = np.where(first, x, y + 1)
+            a[left] = np.where(first, self.right[x], x)
+            b[left] = np.where(first, y, self.left[y])
+            left = left[~bad & (self.sizes[np.maximum(x, y)] > 1)]
+        return good
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same, remembered."""
+        keys = (a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) + np.uint64(2)
+        found = self.fits.get(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            distinct, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            fit = self._compatible(a[new[first]], b[new[first]]).astype(np.int64)
+            if self.fits.used > 1_000_000:
+                self.fits.reset(1 << 16)
+            self.fits.put(distinct, fit)
+            found[new] = fit[back]
+        return found == 1
+
+    def last_tokens(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each prefix of each word (rows of code points), the token with which its encoding ends; -1 for the empty prefix."""
+        n, width = codes.shape
+        last = np.full((n, width + 1), -1, np.int64)
+        for j in range(width):
+            rows = np.flatnonzero(sizes > j)
+            before, node = last[rows, j], np.zeros(len(rows), np.int64)
+            for size in range(1, min(self.longest, width - j) + 1):
+                here = sizes[rows] >= j + size
+                rows, before, node = rows[here], before[here], node[here]
+                node = self.edges.get(((node << 21) + codes[rows, j + size - 1]).astype(np.uint64) + np.uint64(2))
+                here = node >= 0
+                rows, before, node = rows[here], before[here], node[here]
+                if not len(rows):
+                    break
+                token = self.accept[node]
+                match = np.flatnonzero(token >= 0)
+                if j and len(match):
+                    match = match[self.compatible(before[match], token[match])]
+                last[rows[match], j + size] = token[match]
         return last
 
+    def _table_ids(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of known characters with one space at most, recovered backwards from the table."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            width = max(map(len, part))
+            codes = np.array(part, dtype=f"U{width}").view(np.uint32).reshape(len(part), width).astype(np.int64)
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            last = self.last_tokens(codes, sizes)
+            ids, at = np.zeros((len(part), width), np.uint32), sizes.copy()
+            count, rows = np.zeros(len(part), np.int64), np.arange(len(part))
+            while len(rows):
+                token = last[rows, at[rows]]
+                count[rows] += 1
+                ids[rows, width - count[rows]] = self.ids[token]
+                at[rows] -= self.sizes[token]
+                rows = rows[at[rows] > 0]
+            out += [ids[r, width - c :] for r, c in enumerate(count.tolist())]
+        return out
+
     def tokens(self, word: str) -> list[str]:
-        """Pieces of a word all of whose characters occur in pieces."""
-        if SPACE * 2 in word or self.direct_only.intersection(word):
-            return merge(list(word), self.rank)
-        last, end, out = self.last_tokens(word), len(word), []
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
-
-    def word_ids(self, word: str) -> bytes:
-        """Ids of a word as little-endian 32-bit integers."""
+        """Pieces of a word by direct merging."""
+        return merge(list(word), self.rank)
+
+    def word_ids(self, word: str) -> np.ndarray:
+        """Ids of a word with characters outside the vocabulary, several spaces, or great length."""
         ids: list[int] = []
         for k, part in enumerate(self.inside.split(word)):
             if k % 2:
-                ids += [self.byte_ids[b] for b in part.encode()]
+                ids += [self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")]
+            elif part and len(part) > 1000 and SPACE * 2 not in part and not self.direct_only.intersection(part):
+                ids += self._table_ids([part])[0].tolist()
             elif part:
                 for token in self.tokens(part):
                     i = self.pieces.get(token)
                     ids += [i] if i is not None else [self.byte_ids[b] for b in token.encode()]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def encode(self, text: str, ends: bool = True) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        out = [self.bos.to_bytes(4, "little")] if ends else []
-        if text:
-            known = self.known
-            for word in self.words(SPACE + text.replace(" ", SPACE)):
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.word_ids(word)
-                    if len(word) <= REMEMBERED_CHARS:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[word] = ids
-                out.append(ids)
-        if ends:
-            out.append(self.eos.to_bytes(4, "little"))
-        return b"".join(out)
+        return np.array(ids, np.uint32)
+
+    def words_ids(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of many words."""
+        plain, out = [], [None] * len(words)
+        for k, w in enumerate(words):
+            if len(w) <= 64 and SPACE * 2 not in w and not self.strange(w):
+                plain.append(k)
+            else:
+                out[k] = self.word_ids(w)
+        for k, ids in zip(plain, self._table_ids([words[k] for k in plain]), strict=True):
+            out[k] = ids
+        return out
+
+    def encode(self, texts: list[str], ends: bool = True) -> list[np.ndarray]:
+        """Ids of each text."""
+        joined = "".join([SPACE + t for t in texts if t]).replace(" ", SPACE)
+        codes = code_points(joined)
+        bounds = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        begin, end = np.array([self.bos] * ends, np.uint32), np.array([self.eos] * ends, np.uint32)
+        if not len(codes):
+            return [np.concatenate((begin, end)) for _ in texts]
+        space, line = codes == ord(SPACE), codes == 10
+        start = space | line
+        start[1:] &= ~(space[1:] & space[:-1])
+        start[1:] |= line[:-1]
+        start[np.unique(bounds[:-1][np.diff(bounds) > 0])] = True
+        starts = np.flatnonzero(start)
+        entries = self.memory.entries(joined, codes, starts)
+        ids = self.memory.gather(entries)
+        cuts = np.concatenate(([0], np.cumsum(document_sums(self.memory.count[entries], np.searchsorted(starts, bounds)))))
+        return [np.concatenate((begin, ids[a:b], end)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def decode(self, ids) -> str:
         """Text of a sequence of ids; the space that encoding puts first is taken off, bytes that are no character become U+FFFD each."""
@@ -173,21 +270,17 @@ def _loaded(path: str, model) -> PieceBpe:
 
 def encode(df: DataFrame, path: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Keys with ids, the whole encoding of each text with begin and end ids."""
-    import numpy as np
-
     model = df.sparkSession.sparkContext.broadcast(read_model(path))
 
     def make():
         bpe = _loaded(path, model)
-        return lambda texts: [(np.frombuffer(bpe.encode(x), "<i4").tolist(),) for x in texts]
+        return lambda texts: [(ids.tolist(),) for ids in bpe.encode(texts)]
 
     return per_text(df, list(keys), text, "ids array<int>", make)
 
 
 def encode_and_decode(df: DataFrame, path: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Keys with n_tokens, ids_sha256 and decoded_sha256, the digests of the ids and of the text decoded from them."""
-    import numpy as np
-
     model = df.sparkSession.sparkContext.broadcast(read_model(path))
 
     def make():
@@ -195,10 +288,9 @@ def encode_and_decode(df: DataFrame, path: str, text: str = "text", keys: tuple[
 
         def rows(texts: list[str]) -> list[tuple]:
             out = []
-            for x in texts:
-                ids = bpe.encode(x)
-                back = bpe.decode(np.frombuffer(ids, "<i4").tolist())
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+            for ids in bpe.encode(texts):
+                back = bpe.decode(ids.tolist())
+                out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             return out
 
         return rows

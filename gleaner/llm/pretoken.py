@@ -1,9 +1,9 @@
 """The pre-tokens of a byte-level BPE tokenizer, found as its library finds them.
 
-The library's pattern is run by the ``regex`` module, whose Unicode tables may
-be newer than the library's.  Characters about which the two could differ are
-probed once on the driver; a text that holds one of them is split by the
-library itself.
+A table of character classes is made once on the driver: by the ``regex``
+module, whose Unicode tables may be newer than the library's, and for characters
+about which the two differ by probing the library.  With it the pattern is
+evaluated on whole batches of texts by numpy.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .tables import code_points
+
 #: Fixed value: the pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -39,40 +42,86 @@ def doubtful_characters(tokenizer: Tokenizer) -> str:
     return "".join(sorted({c for start, end in ours ^ theirs for c in text[start:end] if ord(c) >= 0x80}))
 
 
-def _character_class(characters: str) -> str:
-    """A regex class of these sorted characters, written as ranges."""
-    runs: list[list[int]] = []
-    for c in map(ord, characters):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+def character_classes(tokenizer: Tokenizer) -> bytes:
+    """A byte for each code point: 0 white space, 1 letter, 2 number, 3 other, as the library sees them."""
+    out = np.full(0x110000, 3, np.uint8)
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for pattern, kind in ((r"\s", 0), (r"\p{L}", 1), (r"\p{N}", 2)):
+        out[code_points("".join(regex.findall(pattern, everything)))] = kind
+    for c in doubtful_characters(tokenizer):
+        after = [len(tokenizer.pre_tokenizer.pre_tokenize_str(p + c)) == 1 for p in "a1!"]
+        out[ord(c)] = after.index(True) + 1 if any(after) else 0
+    return out.tobytes()
+
+
+def word_starts(codes: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin in texts that stand one after another.
+
+    ``codes`` are the code points, ``first`` the positions where texts begin.
+    It is the pattern spelled out: runs of one class take one blank before them;
+    white space leaves its last character to what follows; some endings after
+    an apostrophe stand alone.
+    """
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = classes[codes]
+    space = kind == 0
+    begin = np.zeros(n, bool)
+    begin[first] = True
+    change = begin.copy()
+    change[1:] |= kind[1:] != kind[:-1]
+    start = change.copy()
+    inner = np.flatnonzero(change & ~space & ~begin)
+    inner = inner[space[inner - 1]]  # words after white space of the same text
+    start[inner[codes[inner - 1] == 32]] = False
+    start[inner - 1] = True
+    quotes = np.flatnonzero((codes == 39) & start)
+    if len(quotes):
+        ends = np.append(first, n)[np.searchsorted(first, quotes, "right")]
+        one = np.where(quotes + 1 < ends, codes[np.minimum(quotes + 1, n - 1)], 0)
+        two = np.where(quotes + 2 < ends, codes[np.minimum(quotes + 2, n - 1)], 0)
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long_ = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        start[quotes[short | long_] + 1] = False
+        stops = np.concatenate((quotes[short] + 2, quotes[long_] + 3))
+        start[stops[stops < n]] = True
+    return np.flatnonzero(start)
 
 
 class Splitter:
-    """Pre-tokens and special strings of a text.  ``spec`` is what :func:`describe` gives."""
+    """Cuts texts into pre-tokens and special strings.  ``spec`` is what :func:`describe` gives."""
 
     def __init__(self, spec: dict):
-        self.findall = regex.compile(PATTERN).findall
-        self.doubtful = re.compile(_character_class(spec["doubtful"])).search if spec["doubtful"] else lambda _: None
+        self.classes = np.frombuffer(spec["classes"], np.uint8)
         self.special = spec["special"]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.library = None
-        self.source = spec["json"]
-
-    def sections(self, text: str) -> tuple[list[str], list[str]]:
-        """The parts of a text between special strings, and those strings in order."""
-        if self.cut is None or not self.cut.search(text):
-            return [text], []
-        return self.cut.split(text), self.cut.findall(text)
 
-    def pretokens(self, section: str) -> list[str]:
-        if section.isascii() or not self.doubtful(section):
-            return self.findall(section)
-        if self.library is None:
-            self.library = Tokenizer.from_str(self.source)
-        return [section[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(section)]
+    def sections(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[tuple[int, str]]]:
+        """All texts cut at special strings: the sections between, the first section of each text (one more for the end), and the special string after a section."""
+        if self.cut is None or not any(self.cut.search(t) for t in texts):
+            return texts, np.arange(len(texts) + 1), []
+        out: list[str] = []
+        firsts, marks = [], []
+        for t in texts:
+            firsts.append(len(out))
+            at = 0
+            for mark in self.cut.finditer(t):
+                out.append(t[at : mark.start()])
+                marks.append((len(out) - 1, mark[0]))
+                at = mark.end()
+            out.append(t[at:])
+        return out, np.array([*firsts, len(out)]), marks
+
+    def split(self, sections: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """The sections joined, their code points, where pre-tokens begin, and the first pre-token of each section (one more for the end)."""
+        text = "".join(sections)
+        codes = code_points(text)
+        ends = np.cumsum(np.fromiter(map(len, sections), np.int64, len(sections)))
+        bounds = np.concatenate(([0], ends)).astype(np.int64)
+        firsts = np.unique(bounds[:-1][np.diff(bounds) > 0])
+        starts = word_starts(codes, firsts, self.classes)
+        return text, codes, starts, np.searchsorted(starts, bounds)
 
 
 def describe(path: str) -> dict:
@@ -89,4 +138,4 @@ def describe(path: str) -> dict:
         raise ValueError("only byte-level BPE without a normalizer is handled")
     if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
         raise ValueError("added tokens that strip or need word borders are not handled")
-    return {"json": source, "doubtful": doubtful_characters(Tokenizer.from_str(source)), "special": {t["content"]: t["id"] for t in spec["added_tokens"]}}
+    return {"json": source, "classes": character_classes(Tokenizer.from_str(source)), "special": {t["content"]: t["id"] for t in spec["added_tokens"]}}

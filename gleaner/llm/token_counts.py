@@ -14,16 +14,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .arrow import per_text
 from .bpe import NEVER, merge
 from .pretoken import Splitter, byte_symbols, describe
-
-#: Counts that a worker remembers; beyond, it starts anew from the proven strings.
-REMEMBERED = 300_000
-#: Longer pre-tokens are counted but not remembered.
-REMEMBERED_CHARS = 48
+from .tables import WordMemory, document_sums
 
 
 def proven_strings(vocabulary: dict[str, int], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -54,36 +51,30 @@ def prepare(path: str) -> dict:
     return spec | {"ranks": ranks, "proven": proven_strings(model["vocab"], ranks)}
 
 
-class _Counts(dict):
-    """Tokens by pre-token; what is missing is merged."""
-
+class TokenCounter:
     def __init__(self, tables: dict):
-        self.proven = dict.fromkeys(tables["proven"], 1)
-        self.ranks = tables["ranks"]
-        self.symbols = byte_symbols()
-        super().__init__(self.proven)
+        self.splitter, self.ranks, self.symbols = Splitter(tables), tables["ranks"], byte_symbols()
+        self.proven = frozenset(tables["proven"])
+        # A word's "sequence" is the one number of its tokens.
+        self.memory = WordMemory(lambda words: [np.array([self.tokens(w)]) for w in words], "<i8")
 
     def rank(self, a: str, b: str) -> float:
         return self.ranks.get((a, b), NEVER)
 
-    def __missing__(self, word: str) -> int:
-        n = len(merge([self.symbols[b] for b in word.encode()], self.rank))
-        if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED + len(self.proven):
-                self.clear()
-                self.update(self.proven)
-            self[word] = n
-        return n
-
-
-class TokenCounter:
-    def __init__(self, tables: dict):
-        self.splitter, self.counts = Splitter(tables), _Counts(tables)
+    def tokens(self, word: str) -> int:
+        """Tokens of a pre-token: 1 if it is proven, else what merging gives."""
+        return 1 if word in self.proven else len(merge([self.symbols[b] for b in word.encode()], self.rank))
 
-    def __call__(self, text: str) -> int:
-        sections, special = self.splitter.sections(text)
-        tokens = self.counts.__getitem__
-        return len(special) + sum(sum(map(tokens, self.splitter.pretokens(s))) for s in sections)
+    def count(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each text."""
+        sections, firsts, marks = self.splitter.sections(texts)
+        text, codes, starts, words = self.splitter.split(sections)
+        out = np.zeros(len(sections), np.int64)
+        if len(starts):
+            out = document_sums(self.memory.gather(self.memory.entries(text, codes, starts)), words)
+        for section, _ in marks:
+            out[section] += 1
+        return document_sums(out, firsts)
 
 
 _LOADED: dict[str, TokenCounter] = {}
@@ -96,14 +87,10 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keys: tuple[str,
     def make():
         if path not in _LOADED:
             _LOADED[path] = TokenCounter(tables.value)
-        count = _LOADED[path]
+        counter = _LOADED[path]
 
         def rows(texts: list[str]) -> list[tuple]:
-            out = []
-            for x in texts:
-                n = count(x)
-                out.append((len(x.encode()), n, n > limit))
-            return out
+            return [(len(x.encode()), n, n > limit) for x, n in zip(texts, counter.count(texts).tolist(), strict=True)]
 
         return rows
 

@@ -1,7 +1,7 @@
 """Token ids in binary shards with a minimal-perfect-hash index.
 
-A shard is two files.  ``.ids`` has a header of 16 bytes (magic, bytes an id,
-number of ids) and then the raw ids of its documents, one after another.
+A shard is two files.  ``.ids`` has a header of 8 bytes (magic, bytes an id) and
+then the raw ids of its documents, one after another.
 ``.idx`` has the documents' offsets, their keys in order, and for random access
 a minimal perfect hash from key to a slot, which stores a fingerprint of the
 key and the number of the document.  A lookup costs one hash, one comparison of
@@ -22,6 +22,7 @@ from __future__ import annotations
 import io
 import itertools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,13 +37,16 @@ from tokenizers import Tokenizer
 from .arrow import slices
 from .mphf import MinimalPerfectHash, mix
 from .pretoken import Splitter, describe
+from .tables import WordMemory, document_sums
 from .workspace import AtomicFile, fresh, open_input, read_bytes, stored
 
 MAGIC = b"GLIDS1\0"
 #: A shard is closed at so many documents or bytes of ids.
 SHARD_DOCUMENTS, SHARD_BYTES = 500_000, 256 << 20
 READ_IDS = 2 << 20
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
+#: Words that the library encodes in one call.
+CHUNK = 4000
+_BLANK = re.compile(r"\s")
 
 
 class IdEncoder:
@@ -54,39 +58,53 @@ class IdEncoder:
         size = max(json.loads(spec["json"])["model"]["vocab"].values(), default=0)
         self.width = "<u2" if max(size, *spec["special"].values(), 0) < 1 << 16 else "<u4"
         self.special = {k: np.array([v], self.width).tobytes() for k, v in spec["special"].items()}
-        self.known: dict[str, bytes] = {}
+        self.memory = WordMemory(self._compute, self.width)
+        gap = self.library.encode("\n", add_special_tokens=False).ids
+        self.gap = gap[0] if len(gap) == 1 else None
+
+    def _alone(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words without white space, but for a leading blank: joined by line ends they stay the pre-tokens that they are."""
+        ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self.width)
+        cuts = np.flatnonzero(ids == self.gap)
+        if self.gap is None or len(cuts) != len(words) - 1:
+            return self._alone(words)
+        starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(starts, ends, strict=True)]
+
+    def _compute(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of pre-tokens, by the library."""
+        plain, other = [], []
+        for k, w in enumerate(words):
+            (other if w.isspace() or _BLANK.search(w, 1) else plain).append(k)
+        out: list[np.ndarray] = [None] * len(words)
+        for i in range(0, len(plain), CHUNK):
+            part = plain[i : i + CHUNK]
+            for k, ids in zip(part, self._together([words[k] for k in part]), strict=True):
+                out[k] = ids
+        for k, ids in zip(other, self._alone([words[k] for k in other]), strict=True):
+            out[k] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plans = []
-        for text in texts:
-            sections, special = self.splitter.sections(text)
-            words = self.splitter.pretokens(sections[0])
-            for mark, section in zip(special, sections[1:], strict=True):
-                words.append(mark)
-                words += self.splitter.pretokens(section)
-            plans.append(words)
-        known, fresh_words = self.known, {}
-        if len(known) > REMEMBERED:
-            known.clear()
-        for words in plans:
-            for w in set(words):
-                if w not in known and w not in self.special:
-                    fresh_words[w] = None
-        order = list(fresh_words)
-        now = dict(self.special)
-        for w, e in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.width).tobytes()
-            if len(w) <= REMEMBERED_CHARS:
-                known[w] = ids
-            else:
-                now[w] = ids
-        out = []
-        for words in plans:
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join([now[w] if w in now else known[w] for w in words]))
-        return out
+        """Ids of each text as raw bytes."""
+        sections, firsts, marks = self.splitter.sections(texts)
+        text, codes, starts, words = self.splitter.split(sections)
+        if not len(starts):
+            parts = [b""] * len(sections)
+        else:
+            entries = self.memory.entries(text, codes, starts)
+            raw = self.memory.gather(entries).tobytes()
+            sizes = document_sums(self.memory.count[entries], words) * int(self.width[2])
+            ends = np.cumsum(sizes)
+            parts = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        for section, mark in marks:
+            parts[section] += self.special[mark]
+        if not marks:
+            return parts
+        return [b"".join(parts[a:b]) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
 
 
 def key_hashes(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -148,18 +166,18 @@ class Shard:
     def __init__(self, ids_path: str, index_path: str):
         self.index = ShardIndex.read(read_bytes(index_path))
         self.stream = open_input(ids_path)
-        head = self.stream.read(16)
+        head = self.stream.read(8)
         if head[:7] != MAGIC:
             raise ValueError("this is no shard")
         self.width = f"<u{head[7]}"
-        if int.from_bytes(head[8:], "little") != int(self.index.offsets[-1]):
+        if self.stream.size() != 8 + int(self.index.offsets[-1]) * head[7]:
             raise ValueError("the shard and its index differ in length")
 
     def read(self, first: int, last: int) -> np.ndarray:
         """Ids of the records from ``first`` up to but without ``last``."""
         step = int(self.width[2])
         a, b = int(self.index.offsets[first]), int(self.index.offsets[last])
-        self.stream.seek(16 + a * step)
+        self.stream.seek(8 + a * step)
         return np.frombuffer(self.stream.read((b - a) * step), self.width)
 
     def get(self, key: int) -> list[np.ndarray]:
@@ -169,36 +187,33 @@ class Shard:
 
 
 class _ShardWriter:
+    """Writes documents to one shard after another; ids go straight to the file."""
+
     def __init__(self, folder: str, task: int, width: str):
         self.folder, self.task, self.width, self.number = folder, task, width, 0
-        self.start()
-
-    def start(self) -> None:
-        self.keys: list[int | None] = []
-        self.sizes: list[int] = []
-        self.parts: list[bytes] = []
-        self.bytes = 0
+        self.file: AtomicFile | None = None
 
     def add(self, key: int | None, ids: bytes) -> None:
+        if self.file is None:
+            self.stem = f"{self.folder}/shard-{self.task:06d}-{self.number:04d}"
+            self.file = AtomicFile(self.stem + ".ids")
+            self.file.write(MAGIC + bytes([int(self.width[2])]))
+            self.keys: list[int | None] = []
+            self.sizes: list[int] = []
         self.keys.append(key)
         self.sizes.append(len(ids) // int(self.width[2]))
-        self.parts.append(ids)
-        self.bytes += len(ids)
+        self.file.write(ids)
 
     def full(self) -> bool:
-        return len(self.keys) >= SHARD_DOCUMENTS or self.bytes >= SHARD_BYTES
+        return len(self.keys) >= SHARD_DOCUMENTS or self.file.written >= SHARD_BYTES
 
     def close(self) -> tuple:
-        stem = f"{self.folder}/shard-{self.task:06d}-{self.number:04d}"
-        total = sum(self.sizes)
-        for name, content in ((".ids", itertools.chain([MAGIC + bytes([int(self.width[2])]) + total.to_bytes(8, "little")], self.parts)), (".idx", [ShardIndex.build(self.keys, self.sizes)])):
-            file = AtomicFile(stem + name)
-            for part in content:
-                file.write(part)
-            file.close()
-        done = (self.task, self.number, stem, len(self.keys), total)
-        self.number += 1
-        self.start()
+        self.file.close()
+        index = AtomicFile(self.stem + ".idx")
+        index.write(ShardIndex.build(self.keys, self.sizes))
+        index.close()
+        done = (self.task, self.number, self.stem, len(self.keys), sum(self.sizes))
+        self.file, self.number = None, self.number + 1
         return done
 
 
@@ -220,12 +235,12 @@ def write_shards(documents: DataFrame, path: str, folder: str, end_id: int, text
         end = np.array([end_id], encoder.width).tobytes()
         writer = _ShardWriter(folder, TaskContext.get().partitionId(), encoder.width)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 2 << 20):
                 for k, ids in zip(piece.column("key").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
                     writer.add(k, ids + end)
                     if writer.full():
                         done.append(writer.close())
-        if writer.keys:
+        if writer.file is not None:
             done.append(writer.close())
         columns = list(zip(*done, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["task", "number", "stem", "n_records", "n_ids"])

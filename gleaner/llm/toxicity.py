@@ -165,7 +165,7 @@ class Finder:
         self.matching: dict[str, tuple[str, int]] = {}
 
     def learn(self, tokens: set[str]) -> None:
-        new = list(tokens.difference(self.plain, self.matching))
+        new = [t for t in tokens if t not in self.plain and t not in self.matching]
         if len(self.plain) > REMEMBERED:
             self.plain.clear()
         found = {w: m for w, m in self.lexicon.find(new).items() if m[1] == 0 or w not in self.exceptions}
