@@ -15,16 +15,28 @@ from gleaner.llm import decontaminate, piece_bpe, quality, queries, simhash, tox
 from gleaner.llm.workspace import stored
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents under column names that clash with none of an operator's, and the name of the text among them."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("text")]
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted to labelled ones among them, doesn't reject."""
     model = queries.quality_model(docs, queries.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=tuple(docs.columns)).where(F.col("score") >= queries.GOOD).drop("score")
+    apart, text = _apart(docs)
+    return _back(quality.score(apart, model, text, tuple(apart.columns)).where(F.col("score") >= queries.GOOD), docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where(F.col("score") < queries.TOXIC).drop("score")
+    apart, text = _apart(docs)
+    return _back(toxicity.score(apart, model, text, tuple(apart.columns)).where(F.col("score") < queries.TOXIC), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +50,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold a benchmark item's windows in 5 % of their words or more."""
-    found = decontaminate.contamination(docs, queries.table(spark, sf_dir, "benchmark"), keys=tuple(docs.columns))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    apart, text = _apart(docs)
+    found = decontaminate.contamination(apart, queries.table(spark, sf_dir, "benchmark"), text, tuple(apart.columns))
+    return _back(found.where(~F.col("contaminated")), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "p": {"body"}, "option": {"select"}}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?][^>]*>", re.S)
+#: A tag that the page ends in.
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -62,7 +64,7 @@ def blocks(page: str) -> list[Block]:
 
     while at < end:
         m = _MARKUP.search(page, at)
-        raw = page[at : m.start() if m else end]
+        raw = page[at : m.start()] if m else _CUT_OFF.sub("", page[at:])
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
