@@ -162,3 +162,29 @@ def places(c: Column, gazetteer: list[tuple]) -> Column:
     lower = F.lower(c)
     found = F.array(*[F.struct(first_offset(lower, [n.lower()]).alias("char_offset"), F.lit(n).alias("name"), F.lit(f"{cc}/{n.replace(' ', '_')}").alias("feature_id"), F.lit(lat).alias("lat"), F.lit(lon).alias("lon"), F.lit(cc).alias("country"), F.lit(adm).alias("adm1"), F.lit("").alias("adm2")) for n, lat, lon, adm, cc in gazetteer])
     return F.when(F.octet_length(c) >= 40, F.array_sort(F.filter(found, lambda x: x["char_offset"].isNotNull())))
+
+
+def first_match(c: Column, patterns: list[str], otherwise: Column) -> Column:
+    """The first group of the first pattern that matches, else another value."""
+    found = [F.regexp_extract(c, p, 1) for p in patterns]
+    return F.coalesce(*[F.when(f != "", f) for f in found], otherwise)
+
+
+def before(c: Column, pattern: str) -> Column:
+    """What stands before the first match, trimmed."""
+    return F.regexp_replace(F.get(F.split(c, pattern, 2), 0), r"^\s+|\s+$", "")
+
+
+def split_keeping(c: Column, pattern: str) -> Column:
+    """Parts of a text cut at matches; each match begins the next part."""
+    return F.split(c, f"(?={pattern})")
+
+
+def table_name(c: Column) -> Column:
+    return F.translate(c, "- .", "___")
+
+
+def fixed_url(c: Column, base: Column) -> Column:
+    """An absolute URL from what a page gives, or null if it is none."""
+    whole = F.when(c.rlike(r"^https?://"), c).when(c.startswith("//"), F.concat(F.lit("https:"), c)).when(c != "", F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(c, "^/+", "")))
+    return F.when(whole.rlike(r"^https?://[^/\s]+\S*$"), whole)

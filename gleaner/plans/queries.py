@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import dictionaries as d
-from ..functions import extract, hashing, html, text
-from ..operators import chunk, classify, crawl, dedupe, graph, store, vector
-from ..sources import market
+from ..functions import dates, extract, hashing, html, text
+from ..operators import assist, chain, chunk, classify, crawl, dedupe, graph, store, vector
+from ..sources import documents, market
 from ..streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,10 +313,10 @@ def k11_price_load(spark, sf_dir):
     return kept.groupBy(F.col("fin_instrm_id").alias("instrument")).agg(F.min("trade_date").alias("trade_date"), F.count("*").alias("n"))
 
 
-_LEDGER = "(SELECT event_type AS source, CAST(user_id % 5 AS INTEGER) AS dataset, max(CASE WHEN value > 50 THEN CAST(epoch(ts) AS BIGINT) END) AS last_success_ts FROM events GROUP BY 1, 2)"
+_LEDGER = "(SELECT event_type AS source, CAST(user_id % 5 AS INTEGER) AS dataset, max(CASE WHEN value > 50 THEN CAST(floor(epoch(ts)) AS BIGINT) END) AS last_success_ts FROM events GROUP BY 1, 2)"
 
 
-@query(f"SELECT source, dataset, dataset > 0 AND coalesce((SELECT CAST(max(epoch(ts)) AS BIGINT) FROM events) - last_success_ts < dataset * 86400, false) AS skip FROM {_LEDGER}")
+@query(f"SELECT source, dataset, dataset > 0 AND coalesce((SELECT CAST(floor(max(epoch(ts))) AS BIGINT) FROM events) - last_success_ts < dataset * 86400, false) AS skip FROM {_LEDGER}")
 def p11_should_skip(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -491,3 +491,150 @@ def t33_markdown(spark, sf_dir):
 def t06_siphash_id(spark, sf_dir):
     """Keyed hash without a SQL counterpart: tested against a known value."""
     return table(spark, sf_dir, "pages").select("page_id", hashing.siphash_hex(F.col("url")).alias("doc_id"))
+
+
+def _stories_as_documents(spark, sf_dir):
+    s = stories(spark, sf_dir)
+    return s.select(F.col("p_partkey").cast("string").alias("unique_id"), F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")).alias("url"), "text", F.lit("m").alias("module"), F.array(F.lit("src")).alias("source_name"), (F.col("p_partkey") * 86400).alias("publish_date_ms"))
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CAST(p_partkey AS VARCHAR) AS cluster_id, p_partkey * 86400 AS mention_ts, 'src' AS source, CAST(100.0 AS DOUBLE) AS confidence FROM {PARTS} WHERE octet_length(encode(text)) >= 80")
+def c02_mentions(spark, sf_dir):
+    return chain.mention_rows(chain.mentions(_stories_as_documents(spark, sf_dir)))
+
+
+@query(f"""SELECT kind, count(*) AS n FROM (
+    SELECT 'amounts' AS kind FROM (SELECT unnest(regexp_extract_all(text, '{_AMOUNT_SQL}', 1)) AS c, unnest(regexp_extract_all(text, '{_AMOUNT_SQL}', 3)) AS s FROM {PARTS}) WHERE coalesce(c, '') <> '' OR coalesce(s, '') <> ''
+    UNION ALL SELECT 'themes' FROM ({ORACLES['t25_themes']}) UNION ALL SELECT 'locations' FROM ({ORACLES['t26_geocode']}) UNION ALL SELECT 'gcam' FROM ({ORACLES['m04_gcam']})) GROUP BY kind""")
+def c10_processor_chain(spark, sf_dir):
+    steps = [chain.Plugin("extract_quant", priority=1), chain.Plugin("themes", priority=2), chain.Plugin("tone", priority=3), chain.Plugin("geocode", priority=4), chain.Plugin("solr", priority=5), chain.Plugin("ner", enabled=False)]
+    enriched = chain.run_chain(chain.mentions(_stories_as_documents(spark, sf_dir)), steps)
+    counted = [t.select(F.lit(name).alias("kind")) for name, t in store.emit_tables(enriched).items() if name in ("amounts", "themes", "gcam", "locations")]
+    return dedupe.union_all(counted).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'name:' || lower(x) AS entity_id, x AS label FROM (VALUES ('Securities and Exchange Board of India'), ('National Stock Exchange'), ('Reserve Bank of India')) t(x)")
+def c08_entity_graph(spark, sf_dir):
+    docs = _stories_as_documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" SEBI and NSE agreed.")))
+    found = chain.organisations(chain.mentions(docs))
+    return graph.node_labels(chain.entity_edges(found), chain.entities(found))
+
+
+@query(r"SELECT url, CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '/(\d+)', 1) ELSE 'none' END AS id FROM pages".strip())
+def t14_unique_id(spark, sf_dir):
+    pattern = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("")
+    return table(spark, sf_dir, "pages").select("url", text.first_match(pattern, [r"/(\d+)", r"/(zz)"], F.lit("none")).alias("id"))
+
+
+@query("SELECT s_suppkey, 'Dear Sir' AS greeting, s_name AS recipients FROM supplier")
+def t16_recipients(spark, sf_dir):
+    letter = F.concat(F.lit(" "), "s_name", F.lit(" \nDear Sir / Madam,\nplease note"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("Dear Sir").alias("greeting"), text.before(letter, r"(?i)(dear|madam)").alias("recipients"))
+
+
+@query("SELECT n_nationkey, 'daily_' || replace(replace(replace(n_name, ' ', '_'), '-', '_'), '.', '_') AS name FROM nation")
+def t18_table_name(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.table_name(F.concat(F.lit("daily."), "n_name")).alias("name"))
+
+
+@query(r"SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\. [A-Z]')) AS BIGINT) AS parts FROM documents".strip())
+def t19_split_keeping(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.split_keeping(F.col("text"), r"\. [A-Z]")).cast("long").alias("parts"))
+
+
+@query("SELECT source, min_by(doc_id, doc_id) AS entity_doc, count(*) AS n FROM documents GROUP BY source")
+def k07_entity_first_wins(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("doc_id", "doc_id").alias("entity_doc"), F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag AS col0, l_linestatus AS col1, strftime(l_shipdate, '%Y') AS trade_date, min_by(CAST(l_orderkey AS VARCHAR), l_orderkey * 10 + l_linenumber) AS col2 FROM lineitem GROUP BY 1, 2, 3")
+def k12_generic_load(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy").alias("trade_date"), F.col("l_returnflag").alias("col0"), F.col("l_linestatus").alias("col1"), F.col("l_orderkey").cast("string").alias("col2"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return store.insert_ignore(rows.limit(0), rows, ["trade_date", "col0", "col1"], ["at"]).drop("at")
+
+
+@query(f"""SELECT source, dataset, ts AS last_attempt_ts, CASE WHEN dataset % 2 = 0 THEN ts ELSE last_success_ts END AS last_success_ts, CASE WHEN dataset % 2 = 0 THEN 'success' ELSE 'failed' END AS status
+    FROM (SELECT *, CAST(1700000000 AS BIGINT) AS ts FROM {_LEDGER})""")
+def k13_run_log(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    ledger = ev.groupBy(F.col("event_type").alias("source"), (F.col("user_id") % 5).cast("int").alias("dataset")).agg(F.max(F.when(F.col("value") > 50, F.unix_seconds(F.col("ts").cast("timestamp")))).alias("last_success_ts"))
+    ledger = ledger.select("*", F.lit(0).cast("long").alias("last_attempt_ts"), F.lit("x").alias("status"), F.lit(0).cast("long").alias("rows_ingested"), F.lit("").alias("message"))
+    results = ledger.select("source", "dataset", F.lit(1700000000).cast("long").alias("ts"), (F.col("dataset") % 2 == 0).alias("ok"), F.lit(1).cast("long").alias("rows"), F.lit("m").alias("message"))
+    return store.record_results(ledger, results).drop("rows_ingested", "message")
+
+
+@query("SELECT page_id, url AS \"URL\", CAST(page_id AS VARCHAR) AS \"uniqueID\", '1970-01-01' AS pubdate FROM pages")
+def p05_output_json(spark, sf_dir):
+    docs = table(spark, sf_dir, "pages").select("page_id", "url", F.col("page_id").cast("string").alias("unique_id"), F.lit("1970-01-01").alias("publish_date"), F.col("html").alias("html_content"))
+    return documents.output_columns(docs)
+
+
+@query("SELECT event_id, length(props) > 0 AND NOT starts_with(props, '<') AND (starts_with(props, 'TradDt') OR contains(left(props, 64), ',')) AS csv FROM events")
+def p10_csv_sniff(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", market.looks_like_csv(F.col("props")).alias("csv"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, CAST(epoch(o_orderdate) AS BIGINT) AS ts, CAST(o_orderdate AS DATE) AS bank, CAST(o_orderdate AS DATE) AS insurer, CAST(o_orderdate AS DATE) AS exchange FROM orders")
+def d01_date_formats(spark, sf_dir):
+    at = F.col("o_orderdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", dates.iso_date(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("iso"), dates.central_bank_date(F.concat(F.date_format(at, "MMMM d, yyyy"), F.lit(". "))).alias("bank"), dates.insurance_regulator_date(F.date_format(at, "dd-MM-yyyy")).alias("insurer"), dates.exchange_date(F.upper(F.date_format(at, "dd-MMM-yyyy"))).alias("exchange"))
+    return o.select("o_orderkey", F.col("iso.day").alias("iso"), F.col("iso.ts").alias("ts"), "bank", "insurer", "exchange")
+
+
+@query("SELECT page_id, '2024-05-06' AS day FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, NULL FROM pages WHERE page_id % 2 <> 0")
+def d02_publish_date(spark, sf_dir):
+    meta = F.when(F.col("page_id") % 2 == 0, F.lit('<meta property="article:published_time" content="2024-05-06T10:00:00+05:30">')).otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", dates.published(F.concat(meta, "html"))["day"].alias("day"))
+
+
+@query("SELECT e.event_id, CAST(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS DOUBLE) AS d, CAST(CASE WHEN event_id % 3 = 0 THEN NULL ELSE trunc(value) END AS BIGINT) AS i FROM events e")
+def m02_optional_numbers(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 3 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.col("value").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", dates.number(raw).alias("d"), dates.whole(raw).alias("i"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN repeat('Body ' || page_id || ' ', 40) END AS body FROM pages")
+def m06_json_ld_body(spark, sf_dir):
+    body = F.to_json(F.struct(F.repeat(F.concat(F.lit("Body "), F.col("page_id").cast("string"), F.lit(" ")), 40).alias("articleBody")))
+    script = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<script type="application/ld+json">['), body, F.lit("]</script>"))).otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", dates.json_ld_body(F.concat("html", script)).alias("body"))
+
+
+@query("SELECT s_suppkey, replace(replace(replace(replace(replace('<' || s_name || '> & \"x\"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM supplier")
+def t17_xml_escape(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.xml_escape(F.concat(F.lit("<"), "s_name", F.lit('> & "x"'))).alias("xml"))
+
+
+@query("SELECT doc_id, CAST(floor(len(string_split_regex(trim(text), '[ \\t\\n\\x0b\\f\\r]+')) * 1.333) AS BIGINT) AS n FROM documents".replace("\\\\", "\\"))
+def m03_token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", dates.token_estimate(F.size(F.split(F.trim("text"), r"\s+"))).alias("n"))
+
+
+@query("""WITH t AS (SELECT conv_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: length(w) >= 3)) AS w FROM conversations WHERE turn < 2),
+    f AS (SELECT conv_id, w, count(*) AS n FROM t GROUP BY 1, 2), g AS (SELECT conv_id + 1 AS conv_id, w, n FROM f)
+    SELECT f.conv_id, round(sum(f.n * g.n) / sqrt((SELECT sum(n * n) FROM f x WHERE x.conv_id = f.conv_id) * (SELECT sum(n * n) FROM g y WHERE y.conv_id = f.conv_id)), 6) AS cosine FROM f JOIN g USING (conv_id, w) GROUP BY f.conv_id""".replace("\\\\", "\\"))
+def a12_cosine(spark, sf_dir):
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.length(x) >= 3)
+    f = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", F.explode(w).alias("w")).groupBy("conv_id", "w").agg(F.count("*").alias("n"))
+    norm = f.groupBy("conv_id").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
+    g, gn = f.select((F.col("conv_id") + 1).alias("conv_id"), "w", F.col("n").alias("m")), norm.select((F.col("conv_id") + 1).alias("conv_id"), F.col("q").alias("p"))
+    both = f.join(g, ["conv_id", "w"]).groupBy("conv_id").agg(F.sum(F.col("n") * F.col("m")).alias("s"))
+    return both.join(norm, "conv_id").join(gn, "conv_id").select("conv_id", F.round(F.col("s") / F.sqrt(F.col("q") * F.col("p")), 6).alias("cosine"))
+
+
+@query("SELECT conv_id, '{\"model\":\"m\",\"messages\":[{\"role\":\"user\",\"content\":' || to_json(text) || '}],\"temperature\":0.0}' AS payload FROM conversations WHERE turn = 0")
+def c17_request_payload(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", assist.payload("chatgpt", "m", F.col("text")).alias("payload"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY user_id")
+def r03_stream_first_wins(spark, sf_dir):
+    firsts = streams.event_stream(spark, sf_dir).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+    got = streams.run_available(firsts, f"firsts_{uuid.uuid4().hex}", "append")
+    return got.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, count(*) AS n FROM events GROUP BY 1")
+def r06_tumbling_batch(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ev.groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")

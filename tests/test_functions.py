@@ -3,12 +3,13 @@
 from datetime import date
 from xml.etree import ElementTree
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner import dictionaries as d
-from gleaner.functions import extract, hashing, html, text
-from gleaner.operators import chunk, classify, crawl, dedupe, graph, store
-from gleaner.sources import documents, market
+from gleaner.functions import dates, extract, hashing, html, text
+from gleaner.operators import assist, chain, chunk, classify, crawl, dedupe, graph, store, wordpiece
+from gleaner.sources import archives, config, documents, market
 
 
 def one(spark, column, **values):
@@ -142,3 +143,57 @@ def test_document_files(spark, tmp_path):
     rows = documents.read_json(spark, str(tmp_path)).orderBy("filename").collect()
     assert rows[0]["url"] == "u" and rows[1]["unique_id"] == "7" and rows[1]["publish_date"] == "2024-01-01" and rows[1]["url"] == "w" and rows[1]["source_name"] == ["z"]
     assert "html_content" not in documents.output_columns(documents.read_json(spark, str(tmp_path))).columns
+
+
+def test_wordpieces_and_vectors(spark):
+    vocabulary = {w: i for i, w in enumerate(["[CLS]", "[SEP]", "[UNK]", "un", "##aff", "##able", "cafe", ".", "a"])}
+    assert wordpiece.wordpiece("unaffable", vocabulary) == ["un", "##aff", "##able"] and wordpiece.wordpiece("unx", vocabulary) == ["[UNK]"]
+    assert wordpiece.ids("Café unaffable.", vocabulary) == [0, 6, 3, 4, 5, 7, 1] and wordpiece.ids("a a a unaffable", vocabulary, 6) == [0, 8, 8, 8, 1]
+    pooled = wordpiece.pool(np.ones((1, 3, 4)), np.array([[1, 1, 0]]))
+    assert np.allclose(np.linalg.norm(pooled), 1)
+    chunks = spark.createDataFrame([(1, "one two"), (2, None)], "chunk_index int, chunk_text string")
+    rows = wordpiece.embed_chunks(chunks, wordpiece.hash_embedder(16)).collect()
+    assert [round(sum(x * x for x in r["vector"]), 4) for r in sorted(rows)] == [1.0, 0.0]
+
+
+def test_chain_order_and_processors(spark):
+    steps = [chain.Plugin("tone", priority=10), chain.Plugin("themes", priority=-20), chain.Plugin("ner", enabled=False), chain.Plugin("solr"), chain.Plugin("geocode", kind="retriever")]
+    assert chain.plan(steps) == ["themes", "tone"]
+    docs = spark.createDataFrame([("1", "http://A.b/x/?utm_a=1", "RBI and SEBI agreed with HDFC Bank about inflation in Mumbai, London. " * 4, "m", ["s"], 5)] * 1 + [("2", "u", "short", "m", [], 6)], "unique_id string, url string, text string, module string, source_name array<string>, publish_date_ms long")
+    out = chain.run_chain(docs, [chain.Plugin(n, priority=i) for i, n in enumerate(["dedupe", "mentions", "extract_quant", "themes", "tone", "geocode", "ner", "split_text"])]).orderBy("doc_id").collect()
+    assert out[0]["url"] == "http://a.b/x" and out[0]["themes"][0]["theme"] == "FIN_BANKING" and len(out[0]["organizations"]) == 3 and out[1]["tone"] is None
+    assert chain.mention_rows(chain.mentions(docs)).first()["source"] == "s"
+
+
+def test_model_calls_are_injected(spark):
+    docs = spark.createDataFrame([("x" * 80, {"metadata": "y" * 30}), ("z" * 80, None)], "text string, generated_content map<string,string>")
+    out = assist.tag(docs, "llama3", "Tag this.", lambda: lambda p: f"{len(p)} characters were sent")
+    rows = {r["text"][0]: r["generated_content"] for r in out.collect()}
+    assert rows["x"] == {"metadata": "y" * 30} and rows["z"]["metadata"].endswith("characters were sent")
+    assert one(spark, assist.reply_text("chatgpt", F.col("s")), s='{"choices":[{"message":{"content":"hi"}}]}') == "hi"
+    assert one(spark, assist.prompt("gemma2", F.lit("i"), F.col("s")), s="b").startswith("<start_of_turn>user\ni\nb")
+
+
+def test_dates(spark):
+    for s, f in (("Jun 05, 2024.", dates.central_bank_date), ("5 June 2024", dates.central_bank_date), ("05-06-2024", dates.insurance_regulator_date), ("05-JUN-2024", dates.exchange_date), ("Jun 5, 2024", dates.market_regulator_date)):
+        assert one(spark, f(F.col("s")), s=s) == date(2024, 6, 5), s
+    assert one(spark, dates.insurance_regulator_date(F.col("s")), s="to be announced") is None
+    assert tuple(one(spark, dates.iso_date(F.col("s")), s="2024-06-05T23:30:00-05:00")) == ("2024-06-05", 1717648200)
+    assert one(spark, dates.fenced_json(F.col("s")), s='Sure:\n```json\n{"a": 1}\n```') == '{"a": 1}' and one(spark, dates.fenced_json(F.col("s")), s="plain") == "plain"
+    assert one(spark, text.fixed_url(F.col("s"), F.lit("https://a.b/")), s="/c") == "https://a.b/c" and one(spark, text.fixed_url(F.col("s"), F.lit("x")), s="") is None
+
+
+def test_configuration(tmp_path, monkeypatch):
+    (tmp_path / "c.toml").write_text('data_dir = "a"\n[[plugins]]\nname = "tone"\npriority = 3\n[[sites]]\nplugin_name = "s"\nvalid_url_patterns = ["x/"]\nunknown = 1\n')
+    monkeypatch.setenv("GLEANER_DATA_DIR", "b")
+    c = config.read(str(tmp_path / "c.toml"))
+    assert c["data_dir"] == "b" and config.plugins(c)[0].priority == 3 and config.sites(c)[0].valid_url_patterns == ("x/",)
+
+
+def test_dated_archives(spark, tmp_path):
+    docs = spark.createDataFrame([("m", "u1", "t1", "2024-01-02"), ("m", "u2", "t2", "2024-01-02"), ("m", "u1", "t1", "2024-01-02")], "module string, url string, text string, publish_date string")
+    assert archives.write_dated_zips(docs, str(tmp_path)).collect()[0]["n"] == 2
+    assert archives.write_dated_zips(docs, str(tmp_path)).count() == 0
+    rows = documents.read_archives(spark, str(tmp_path)).collect()
+    assert {(r["url"], r["text"], r["publish_date"]) for r in rows} == {("u1", "t1", "2024-01-02"), ("u2", "t2", "2024-01-02")}
+    assert archives.merge_zips(str(tmp_path / "2024" / "2024-01-02.zip"), str(tmp_path / "all.zip")) == 2
