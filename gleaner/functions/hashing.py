@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -50,9 +51,13 @@ def fnv1a_many(words: list[bytes]) -> np.ndarray:
     return out
 
 
+#: What is neither a letter, a digit nor white space.
+_NEITHER = re.compile(r"[^\w\s]|_")
+
+
 def simhash_text(text: str, known: dict[str, int]) -> int:
     """Majority of the token hashes for each bit; tokens are split at white space and stripped of all but letters and digits."""
-    bag = [t for t in ("".join(c for c in w if c.isalnum()) for w in text.lower().split()) if t]
+    bag = _NEITHER.sub("", text.lower()).split()
     if not bag:
         return 0
     new = list({t for t in bag if t not in known})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from ..dictionaries import FILE_NAME_REPLACEMENTS, TRACKING
 ALNUM_RUN = r"[^\p{IsAlphabetic}\p{N}]+"
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it inside higher-order functions."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def squeeze(c: Column) -> Column:
     """White space runs as one space, trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -118,21 +124,27 @@ def feed_links(xml: Column) -> Column:
 def word_windows(c: Column, most: int) -> Column:
     """Windows of at most ``most`` words that overlap by a tenth (20 words at least)."""
     step = most - max(most // 10, 20)
-    w = F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    starts = F.when(F.size(w) > most, F.filter(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda i: (i == 0) | (i + most - step < F.size(w)))).otherwise(F.array(F.lit(0)))
-    return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, most), " "))).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        starts = F.when(F.size(w) > most, F.filter(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda i: (i == 0) | (i + most - step < F.size(w)))).otherwise(F.array(F.lit(0)))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, most), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bind(F.filter(F.split(c, r"\s+"), lambda x: x != ""), windows)
 
 
 def tone_panel(c: Column, positive: list[str], negative: list[str], active: list[str]) -> Column:
     """Shares in percent of positive, negative and active words, and what follows from them."""
-    w = tokens(c)
-    n = F.size(w).cast("double")
     some = lambda words: F.array(*[F.lit(x) for x in words])
-    share = lambda f: F.when(n > 0, F.size(F.filter(w, f)) * 100.0 / n).otherwise(0.0)
-    p = share(lambda x: F.array_contains(some(positive), x))
-    m = share(lambda x: ~F.array_contains(some(positive), x) & F.array_contains(some(negative), x))
-    a = share(lambda x: F.array_contains(some(active), x))
-    return F.struct((p - m).alias("tone"), p.alias("positive"), m.alias("negative"), (p + m).alias("polarity"), a.alias("activity"), F.lit(0.0).alias("self_group"), F.size(w).cast("long").alias("word_count"))
+
+    def panel(w: Column) -> Column:
+        n = F.size(w).cast("double")
+        share = lambda f: F.when(n > 0, F.size(F.filter(w, f)) * 100.0 / n).otherwise(0.0)
+        return F.struct(share(lambda x: F.array_contains(some(positive), x)).alias("p"), share(lambda x: ~F.array_contains(some(positive), x) & F.array_contains(some(negative), x)).alias("m"), share(lambda x: F.array_contains(some(active), x)).alias("a"), F.size(w).cast("long").alias("n"))
+
+    def fields(x: Column) -> Column:
+        return F.struct((x["p"] - x["m"]).alias("tone"), x["p"].alias("positive"), x["m"].alias("negative"), (x["p"] + x["m"]).alias("polarity"), x["a"].alias("activity"), F.lit(0.0).alias("self_group"), x["n"].alias("word_count"))
+
+    return bind(bind(tokens(c), panel), fields)
 
 
 def quick_tone(c: Column, positive: list[str], negative: list[str]) -> Column:
@@ -147,21 +159,21 @@ def first_offset(lower: Column, phrases: list[str]) -> Column:
     """Byte offset of the first whole-word occurrence of any phrase in a lower-cased text, or null."""
     pattern = r"(?<![A-Za-z0-9_])(?:" + "|".join(sorted((re.escape(p) for p in phrases), key=len, reverse=True)) + r")(?![A-Za-z0-9_])"
     at = F.regexp_instr(lower, F.lit(pattern))
-    return F.when(at > 0, F.octet_length(F.substr(lower, F.lit(1), at - 1)).cast("long"))
+    # Plain containment is much cheaper than the expression and rules most texts out.
+    maybe = reduce(lambda a, b: a | b, [lower.contains(p) for p in phrases])
+    return F.when(maybe & (at > 0), F.octet_length(F.substr(lower, F.lit(1), at - 1)).cast("long"))
 
 
 def themes(c: Column, book: dict[str, list[str]]) -> Column:
     """Themes with the offset of their first phrase, by offset; texts under 40 bytes have none."""
-    lower = F.lower(c)
-    found = F.array(*[F.struct(first_offset(lower, [p.lower() for p in phrases]).alias("char_offset"), F.lit(code).alias("theme")) for code, phrases in book.items()])
-    return F.when(F.octet_length(c) >= 40, F.array_sort(F.filter(found, lambda x: x["char_offset"].isNotNull()))).otherwise(F.array().cast("array<struct<char_offset:bigint,theme:string>>"))
+    found = lambda lower: F.array(*[F.struct(first_offset(lower, [p.lower() for p in phrases]).alias("char_offset"), F.lit(code).alias("theme")) for code, phrases in book.items()])
+    return F.when(F.octet_length(c) >= 40, F.array_sort(F.filter(bind(F.lower(c), found), lambda x: x["char_offset"].isNotNull()))).otherwise(F.array().cast("array<struct<char_offset:bigint,theme:string>>"))
 
 
 def places(c: Column, gazetteer: list[tuple]) -> Column:
     """Places with their first offset, by offset; overlapping names are all kept."""
-    lower = F.lower(c)
-    found = F.array(*[F.struct(first_offset(lower, [n.lower()]).alias("char_offset"), F.lit(n).alias("name"), F.lit(f"{cc}/{n.replace(' ', '_')}").alias("feature_id"), F.lit(lat).alias("lat"), F.lit(lon).alias("lon"), F.lit(cc).alias("country"), F.lit(adm).alias("adm1"), F.lit("").alias("adm2")) for n, lat, lon, adm, cc in gazetteer])
-    return F.when(F.octet_length(c) >= 40, F.array_sort(F.filter(found, lambda x: x["char_offset"].isNotNull())))
+    found = lambda lower: F.array(*[F.struct(first_offset(lower, [n.lower()]).alias("char_offset"), F.lit(n).alias("name"), F.lit(f"{cc}/{n.replace(' ', '_')}").alias("feature_id"), F.lit(lat).alias("lat"), F.lit(lon).alias("lon"), F.lit(cc).alias("country"), F.lit(adm).alias("adm1"), F.lit("").alias("adm2")) for n, lat, lon, adm, cc in gazetteer])
+    return F.when(F.octet_length(c) >= 40, F.array_sort(F.filter(bind(F.lower(c), found), lambda x: x["char_offset"].isNotNull())))
 
 
 def first_match(c: Column, patterns: list[str], otherwise: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..dictionaries import STOP_WORDS
 
 _STOP = frozenset(STOP_WORDS)
+_NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ def sentences(text: str) -> list[str]:
 
 def terms(part: list[str]) -> Counter:
     """Frequencies of alphabetic words of three bytes and more without stop words."""
-    w = ("".join(c for c in x if c.isalpha()).lower() for s in part for x in s.split())
+    w = (_NO_LETTER.sub("", x).lower() for s in part for x in s.split())
     return Counter(x for x in w if len(x.encode()) >= 3 and x not in _STOP)
 
 
@@ -41,9 +42,25 @@ def cosine(a: Counter, b: Counter) -> float:
     return sum(n * b[t] for t, n in a.items()) / norm if norm else 0.0
 
 
+def _move(window: Counter, new: Counter, old: Counter) -> None:
+    window.update(new)
+    for t, n in old.items():
+        if window[t] == n:
+            del window[t]
+        else:
+            window[t] -= n
+
+
 def boundaries(parts: list[str], window: int, threshold: float) -> list[int]:
     """Where the similarity of the sentences before and after has a low local minimum."""
-    scores = [cosine(terms(parts[g - window : g]), terms(parts[g : g + window])) for g in range(window, len(parts) - window)]
+    each = [terms([p]) for p in parts]
+    scores = []
+    before, after = sum(each[:window], Counter()), sum(each[window : 2 * window], Counter())
+    for g in range(window, len(parts) - window):
+        scores.append(cosine(before, after))
+        # Both windows move on by one sentence.
+        _move(before, each[g], each[g - window])
+        _move(after, each[g + window], each[g])
     return [window + i for i in range(1, len(scores) - 1) if scores[i] < threshold and scores[i] <= scores[i - 1] and scores[i] <= scores[i + 1]]
 
 
