@@ -231,9 +231,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray
     return w
 
 
-def _sketch(tokens: list[str]) -> int:
-    """The least hash of five words in sequence: near copies mostly share it."""
-    return min((xxhash.xxh64_intdigest(" ".join(tokens[i : i + 5])) for i in range(max(1, len(tokens) - 4))), default=0) >> 1
+#: Sketches by which near copies in the sample are found.
+SKETCHES = 4
+_SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9], np.uint64)
+
+
+def _sketches(tokens: list[str]) -> list[int]:
+    """The least of several hashes of five words in sequence: near copies mostly share each."""
+    runs = [xxhash.xxh64_intdigest(" ".join(tokens[i : i + 5])) for i in range(max(1, len(tokens) - 4))]
+    mixed = np.array(runs, np.uint64)[:, None] * _SPREAD[None, :]
+    return ((mixed ^ mixed >> np.uint64(29)).min(axis=0) >> np.uint64(1)).tolist()
 
 
 def _keys(df: DataFrame) -> DataFrame:
@@ -255,14 +262,21 @@ def _keys(df: DataFrame) -> DataFrame:
 
 
 def _one_of_near_copies(held: DataFrame) -> DataFrame:
-    """The sample with one row for each label and sketch."""
+    """The sample with one row for each label and sketch, for one sketch after another."""
+
+    names = [f"s{k}" for k in range(SKETCHES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches = [_sketch(words(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), pa.array(sketches, pa.int64())], names=["text", "label", "sketch"])
-
-    return held.select("text", "label").mapInArrow(run, "text string, label int, sketch long").groupBy("label", "sketch").agg(F.min("text").alias("text"))
+            sketches = [_sketches(words(t)) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([s[k] for s in sketches], pa.int64()) for k in range(SKETCHES)]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), *columns], names=["text", "label", *names])
+
+    out = held.select("text", "label").mapInArrow(run, "text string, label int, " + ", ".join(f"{n} long" for n in names))
+    for n in names:
+        rest = [c for c in out.columns if c not in ("label", n)]
+        out = out.groupBy("label", n).agg(F.min(F.struct(*rest)).alias("row")).select("label", "row.*")
+    return out.select("label", "text")
 
 
 def _surprise(toxic: int, clean: int, share: float) -> float:
