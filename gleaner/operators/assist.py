@@ -75,3 +75,19 @@ REPLY_PATHS = {"ollama": "$.response", "chatgpt": "$.choices[0].message.content"
 
 def reply_text(provider: str, body: Column) -> Column:
     return F.get_json_object(body, REPLY_PATHS[provider])
+
+
+def summarise(df: DataFrame, model: str, instruction: str, client: Client, key: str, context_tokens: int, words_per_token: float = 1.333) -> DataFrame:
+    """Add ``summary``: of the whole text if its estimated tokens fit, else of the summaries of its parts.
+
+    ``key`` names the documents; ``text_parts`` holds their parts.  All parts of
+    all documents are summarised in one pass, then joined in order.
+    """
+    fits = F.size(F.split(F.trim("text"), r"\s+")) * words_per_token <= context_tokens
+    marked = df.withColumn("__fits", F.coalesce(fits, F.lit(True)))
+    ask_for = lambda body: prompt(model, F.lit(instruction), capped(body))
+    parts = marked.where("not __fits").select(key, F.posexplode("text_parts").alias("at", "part")).select(key, "at", ask_for(F.col("part.text")).alias("__p"))
+    replies = ask(parts, "__p", client, "__s").where("__s is not null")
+    joined = replies.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "__s"))), lambda x: x["__s"]), "\n").alias("__joined"))
+    whole = marked.join(joined, key, "left").withColumn("__prompt", ask_for(F.when(F.col("__fits"), F.col("text")).otherwise(F.col("__joined"))))
+    return ask(whole, "__prompt", client, "summary").drop("__fits", "__joined", "__prompt")

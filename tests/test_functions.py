@@ -7,8 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner import dictionaries as d
-from gleaner.functions import dates, extract, hashing, html, text
-from gleaner.operators import assist, chain, chunk, classify, crawl, dedupe, graph, store, wordpiece
+from gleaner.functions import dates, extract, hashing, html, select, text
+from gleaner.operators import assist, chain, chunk, classify, crawl, dedupe, feeds, graph, listing, store, wordpiece
 from gleaner.sources import archives, config, documents, market
 
 
@@ -197,3 +197,32 @@ def test_dated_archives(spark, tmp_path):
     rows = documents.read_archives(spark, str(tmp_path)).collect()
     assert {(r["url"], r["text"], r["publish_date"]) for r in rows} == {("u1", "t1", "2024-01-02"), ("u2", "t2", "2024-01-02")}
     assert archives.merge_zips(str(tmp_path / "2024" / "2024-01-02.zip"), str(tmp_path / "all.zip")) == 2
+
+
+def test_selectors_and_listings(spark):
+    page = "<div class='story lead'><p>One <a href='/x'>two</a></p><p>three</div><div id=z><p>four</p><script>no</script></div>"
+    elements = select.parse(page)
+    assert [e.text() for e in select.select(elements, "div.story p")] == ["One two", "three"]
+    assert [e.text() for e in select.select(elements, "div[class*='lea'] p, #z p")] == ["One two", "three", "four"]
+    assert select.first_long_text(page, ["main p", "#z", "div.story p"], 5) == "One two\nthree" and select.first_long_text("", ["p"], 1) == ""
+    html_ = "<table class=tablebg><tr><td>Jun 05, 2024<tr><td><a href='/a'>A</a></td><td><a href='/a.pdf'>pdf</a></td></tr><tr><td><a href='/b.pdf'>B</a></table>"
+    rows = listing.listing_rows(spark.createDataFrame([("https://r.example/list", html_)], "url string, html string")).orderBy("row").collect()
+    assert [(r["title"], r["link"], r["pdf"], r["published"]) for r in rows] == [("A", "https://r.example/a", "https://r.example/a.pdf", date(2024, 6, 5)), ("B", "https://r.example/b.pdf", "https://r.example/b.pdf", date(2024, 6, 5))]
+    assert listing.page_requests(spark.range(2), 3).count() == 6
+
+
+def test_feeds(spark):
+    def fail(_):
+        raise RuntimeError("no file")
+
+    jobs = [feeds.Feed("a", "x", lambda s: feeds.Outcome(True, 7)), feeds.Feed("b", "x", fail), feeds.Feed("c", "x", fail, 2)]
+    ledger = spark.createDataFrame([("c", "x", 1000, 1000, "success", 3, "")], feeds.LEDGER)
+    after = {r["source"]: (r["status"], r["rows_ingested"], r["last_success_ts"]) for r in feeds.run_feeds(spark, jobs, ledger, 2000).collect()}
+    assert after == {"a": ("success", 7, 2000), "b": ("failed", 0, None), "c": ("success", 3, 1000)}
+
+
+def test_summaries_of_parts(spark):
+    docs = spark.createDataFrame([(1, "word " * 30, []), (2, "word " * 300, [("0", "first " * 20), ("1", "second " * 20)])], "doc_id int, text string, text_parts array<struct<id:string,text:string>>")
+    out = assist.summarise(docs, "m", "Summarise.", lambda: lambda p: "S(" + p[-60:].strip() + ")" * 40, "doc_id", 100)
+    rows = {r["doc_id"]: r["summary"] for r in out.collect()}
+    assert rows[1].startswith("S(") and "word" in rows[1] and rows[2].startswith("S(")
