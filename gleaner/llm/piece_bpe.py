@@ -243,7 +243,7 @@ class PieceBpe:
         return [np.concatenate((begin, ids[a:b], end)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def decode(self, ids) -> str:
-        """Text of a sequence of ids; the space that encoding puts first is taken off, bytes that are no character become U+FFFD each."""
+        """Text of a sequence of ids; the space that encoding puts first is taken off, bytes that are no character become U+FFFD each; a control id ends a run of bytes."""
         surface = self.surface
         parts = [surface[i] for i in ids]
         for k, p in enumerate(parts):
@@ -251,7 +251,11 @@ class PieceBpe:
                 if ids[k] in self.spaced:
                     parts[k] = p[1:]
                 break
-        return b"".join(parts).decode("utf-8", "gleaner_one_byte")
+        out, begin = [], 0
+        for k in [k for k, p in enumerate(parts) if not p] + [len(parts)]:
+            out.append(b"".join(parts[begin:k]).decode("utf-8", "gleaner_one_byte"))
+            begin = k + 1
+        return "".join(out)
 
 
 _LOADED: dict[str, PieceBpe] = {}
