@@ -157,3 +157,11 @@ FILE_NAME_REPLACEMENTS = [
     ("/", ""), ("\\", ""), ("?", "_"), ("|", "_"), ("*", ""), (":", ""), ("=", "_"), ("+", "_"), ("'", ""), ("`", ""),
     *((x, "_") for x in (";", "&", "%", "@", "#", "!", "{", "}", "<", ">", " ")), *[("__", "_")] * 4,
 ]
+
+# Where the exchange keeps its daily price files, before and from the day on which the layout changed.
+PRICE_FILE_CHANGE = "2024-08-01"
+PRICE_FILE_OLD = "https://nsearchives.nseindia.com/content/historical/EQUITIES/{year}/{MON}/cm{day}{MON}{year}bhav.csv.zip"
+PRICE_FILE_NEW = "https://nsearchives.nseindia.com/content/cm/BhavCopy_NSE_CM_0_0_0_{year}{month}{day}_F_0000.csv.zip"
+
+# Reference number, serial, date, addressees and salutation in the summary of a central bank's notification.
+NOTIFICATION_SUMMARY = r"(RBI[/A-Z]+\d{4}-\d{2,4}/\d*)(.+\d{4}-\d{2,4}[ ]*)((January|February|March|April|May|June|July|August|September|October|November|December)[\d ]+,[\d ]+)(.+)(Madam|Madam[ ]*/[ ]*Dear Sir|Dear Sir/|Dear Sir /|Madam / Dear Sir|Madam / Sir|$)"

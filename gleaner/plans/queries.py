@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .. import dictionaries as d
 from ..functions import dates, extract, hashing, html, text
-from ..operators import assist, chain, chunk, classify, crawl, dedupe, graph, store, vector
+from ..operators import assist, chain, chunk, classify, crawl, dedupe, graph, harvest, listing, store, vector
 from ..sources import documents, market
 from ..streaming import events as streams
 
@@ -638,3 +638,35 @@ def r03_stream_first_wins(spark, sf_dir):
 def r06_tumbling_batch(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return ev.groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+@query(
+    """SELECT CAST(d AS DATE) AS day, CASE WHEN d < DATE '2024-08-01'
+         THEN 'https://nsearchives.nseindia.com/content/historical/EQUITIES/' || strftime(d, '%Y/') || upper(strftime(d, '%b')) || '/cm' || strftime(d, '%d') || upper(strftime(d, '%b')) || strftime(d, '%Y') || 'bhav.csv.zip'
+         ELSE 'https://nsearchives.nseindia.com/content/cm/BhavCopy_NSE_CM_0_0_0_' || strftime(d, '%Y%m%d') || '_F_0000.csv.zip' END AS url
+       FROM (SELECT unnest(generate_series(TIMESTAMP '2006-01-01', TIMESTAMP '2025-12-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6"""
+)
+def s23_price_history(spark, sf_dir):
+    return market.price_history(spark, "2006-01-01", "2025-12-31")
+
+
+@query("SELECT page_id, 'm_' || left(regexp_replace(CASE WHEN contains(url, '/') THEN regexp_extract(url, '([^/]*)$', 1) ELSE 'data' END, '\\.[^.]*$', ''), 48) || '_2024_05_06.xlsx' AS file FROM pages")
+def k16_dataset_file(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", harvest.dataset_file("m", F.col("url"), F.lit("2024-05-06")).alias("file"))
+
+
+@query("SELECT 'https://x.example/files/' || p_partkey || '.pdf' AS url, p_name AS title, p_brand AS unique_id FROM part")
+def s18_circulars(spark, sf_dir):
+    item = F.struct(F.format_string("/files/%d.pdf", "p_partkey").alias("filePath"), F.col("p_name").alias("subject"), F.col("p_brand").alias("nseCircularNumber"))
+    replies = table(spark, sf_dir, "part").select(F.to_json(F.array(item)).alias("body"))
+    return listing.circulars(replies, "https://x.example/").drop("published")
+
+
+@query(
+    r"""SELECT p_partkey, trim(regexp_extract(t, p, 2)) AS unique_id, regexp_extract(t, p, 3) AS date, regexp_extract(t, p, 5) AS recipients
+        FROM (SELECT p_partkey, concat('RBI/', 2000 + p_size, '-', 10 + p_size % 80, '/', p_partkey, ' DOR.No.', p_size, '/2024-25 July ', 1 + p_size % 28, ', 2024 The Chairman of ', p_name, ' Madam / Dear Sir') AS t,
+                '(RBI[/A-Z]+\d{4}-\d{2,4}/\d*)(.+\d{4}-\d{2,4}[ ]*)((?:January|February|March|April|May|June|July|August|September|October|November|December)[\d ]+,[\d ]+)()(.+)(Madam|$)' AS p FROM part)"""
+)
+def t34_notification_summary(spark, sf_dir):
+    summary = F.expr("concat('RBI/', 2000 + p_size, '-', 10 + p_size % 80, '/', p_partkey, ' DOR.No.', p_size, '/2024-25 July ', 1 + p_size % 28, ', 2024 The Chairman of ', p_name, ' Madam / Dear Sir')")
+    return table(spark, sf_dir, "part").select("p_partkey", listing.notification_summary(summary).alias("s")).select("p_partkey", "s.*")

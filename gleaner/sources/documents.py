@@ -5,10 +5,10 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,3 +64,33 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 6, names=["archive", "entry", "url", "title", "text", "publish_date"])
 
     return files.mapInArrow(run, "archive string, entry string, url string, title string, text string, publish_date string")
+
+
+def is_pdf(content: Column) -> Column:
+    """Whether bytes begin as a PDF file does."""
+    return F.coalesce(F.substring(content, 1, 4) == F.lit(b"%PDF"), F.lit(False))
+
+
+def read_pdfs(spark: SparkSession, path: str, reader: Callable[[], Callable[[bytes], str]]) -> DataFrame:
+    """Documents (filename, module, title, text) of the PDF files below a folder; other content under that ending is left out.
+
+    ``reader`` is called once a task and gives a function from a file's bytes to
+    its text, for instance a PDF library's or a character recogniser's.  A file
+    that it fails on has an empty text.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(path)
+    names = F.regexp_extract("path", r"([^/]*)\.pdf$", 1)
+    chosen = files.where(is_pdf(F.col("content"))).select(F.col("path").alias("filename"), F.lit("PDF").alias("module"), names.alias("title"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = reader()
+        for batch in batches:
+            texts = []
+            for content in batch.column(3).to_pylist():
+                try:
+                    texts.append(read(content))
+                except Exception:  # one damaged file doesn't end the scan
+                    texts.append("")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["filename", "module", "title", "text"])
+
+    return chosen.mapInArrow(run, "filename string, module string, title string, text string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dictionaries import MONTHS, PRICE_COLUMNS
+from ..dictionaries import MONTHS, PRICE_COLUMNS, PRICE_FILE_CHANGE, PRICE_FILE_NEW, PRICE_FILE_OLD
 
 
 def looks_like_csv(content: Column) -> Column:
@@ -49,3 +49,17 @@ def business_days(spark: SparkSession, day: str, n: int) -> DataFrame:
     """The n weekdays up to a day, latest first."""
     days = spark.range(1).select(F.explode(F.sequence(F.date_sub(F.lit(day).cast("date"), 2 * n + 4), F.lit(day).cast("date"))).alias("day"))
     return days.where(F.weekday("day") < 5).orderBy(F.desc("day")).limit(n)
+
+
+def price_file_url(day: Column) -> Column:
+    """Where the exchange keeps the price file of a day."""
+    url = F.when(day < F.lit(PRICE_FILE_CHANGE).cast("date"), PRICE_FILE_OLD).otherwise(PRICE_FILE_NEW)
+    for name, pattern in (("{year}", "yyyy"), ("{MON}", "MMM"), ("{month}", "MM"), ("{day}", "dd")):
+        url = F.replace(url, F.lit(name), F.upper(F.date_format(day, pattern)))
+    return url
+
+
+def price_history(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """day and url of the price files of all weekdays from start to end."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
+    return days.where(F.weekday("day") < 5).select("day", price_file_url(F.col("day")).alias("url"))
