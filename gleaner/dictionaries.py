@@ -146,6 +146,11 @@ PRICE_COLUMNS = {
     "TtlTradgVol": ("total_volume", "double"), "TtlTrfVal": ("total_value", "double"), "TtlNbOfTxsExctd": ("total_trades", "bigint"),
     "SsnId": ("session_id", "string"), "NewBrdLotQty": ("lot_size", "bigint"),
 }
+LEGACY_PRICE_COLUMNS = {
+    "TIMESTAMP": ("trade_date", "string"), "SYMBOL": ("ticker_symbol", "string"), "SERIES": ("security_series", "string"),
+    "OPEN": ("open_price", "double"), "HIGH": ("high_price", "double"), "LOW": ("low_price", "double"), "CLOSE": ("close_price", "double"),
+    "LAST": ("last_price", "double"), "PREVCLOSE": ("prev_close", "double"), "TOTTRDQTY": ("total_volume", "double"), "TOTTRDVAL": ("total_value", "double"),
+}
 
 # Words without weight in chunk similarity.
 STOP_WORDS = """the a an and or but in on at to for of with by is are was were be been being have has had do does did will would could should

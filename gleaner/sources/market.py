@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..dictionaries import MONTHS, PRICE_COLUMNS, PRICE_FILE_CHANGE, PRICE_FILE_NEW, PRICE_FILE_OLD
+from ..dictionaries import LEGACY_PRICE_COLUMNS, MONTHS, PRICE_COLUMNS, PRICE_FILE_CHANGE, PRICE_FILE_NEW, PRICE_FILE_OLD
 
 
 def looks_like_csv(content: Column) -> Column:
@@ -14,20 +19,36 @@ def looks_like_csv(content: Column) -> Column:
     return (F.length(text) > 0) & ~text.startswith("<") & (text.startswith("TradDt") | text.contains(","))
 
 
+def _records(content: str | None) -> list[list[str]]:
+    """Records of a CSV text with their fields; quoted fields may hold commas, quotes and line ends.  Blank records are left out."""
+    csv.field_size_limit((1 << 31) - 1)
+    return [r for r in csv.reader(io.StringIO(content or "", newline="")) if any(f.strip() for f in r)]
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def records(content: pd.Series) -> pd.Series:
+    return content.map(_records)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with file and position, blank ones left out."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("at", "line")).select("file", "at", F.trim("line").alias("line")).where("line <> ''")
+    """Records of CSV files as fields, with file and position, blank ones left out."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), records("value").alias("records"))
+    return whole.select("file", F.posexplode("records").alias("at", "fields"))
 
 
 def rows_by_header(lines: DataFrame) -> DataFrame:
-    """file, at and a map from header to field; lines of another width than their file's header are left out."""
-    fields = lines.withColumn("fields", F.split("line", ","))
-    header = fields.where("at = 0").select("file", F.col("fields").alias("header"))
-    joined = fields.where("at > 0").join(header, "file").where(F.size("fields") == F.size("header"))
+    """file, at and a map from header to field; records of another width than their file's header are left out."""
+    header = lines.where("at = 0").select("file", F.col("fields").alias("header"))
+    joined = lines.where("at > 0").join(header, "file").where(F.size("fields") == F.size("header"))
     return joined.select("file", "at", F.map_from_arrays(F.transform("header", F.trim), "fields").alias("row"))
 
 
+def layout(row: Column) -> Column:
+    """"new", "legacy" or "unknown", by the header."""
+    has = lambda name: F.map_contains_key(row, F.lit(name))
+    return F.when(has("TradDt") | has("FinInstrmId"), "new").when(has("SYMBOL") & has("TIMESTAMP"), "legacy").otherwise("unknown")
+
+
 def typed_prices(rows: DataFrame) -> DataFrame:
     """The typed columns of price rows; numbers that can't be read are null, a missing text is empty; rows without a date are dropped."""
     out = []
@@ -45,6 +66,22 @@ def legacy_date(c: Column) -> Column:
     return F.when(c.rlike(parts), F.concat_ws("-", F.regexp_extract(c, parts, 3), month, F.lpad(F.regexp_extract(c, parts, 1), 2, "0"))).otherwise(c)
 
 
+def legacy_prices(rows: DataFrame) -> DataFrame:
+    """The typed columns of price rows of the older layout; numbers that can't be read are null, a missing text is empty; rows without a date are dropped."""
+    out = []
+    for head, (name, kind) in LEGACY_PRICE_COLUMNS.items():
+        raw = F.trim(F.try_element_at("row", F.lit(head)))
+        out.append((F.coalesce(raw, F.lit("")) if kind == "string" else raw.try_cast("double")).alias(name))
+    return rows.select("file", "at", *out).where("trade_date <> ''").withColumn("trade_date", legacy_date(F.col("trade_date")))
+
+
+def load_prices(spark: SparkSession, path: str) -> DataFrame:
+    """Typed rows of price files of both layouts, with their layout; columns that the older one lacks are null, files of an unknown layout give no row."""
+    rows = rows_by_header(read_lines(spark, path)).withColumn("layout", layout(F.col("row")))
+    new, legacy = (f(rows.where(F.col("layout") == kind)).withColumn("layout", F.lit(kind)) for kind, f in (("new", typed_prices), ("legacy", legacy_prices)))
+    return new.unionByName(legacy, allowMissingColumns=True)
+
+
 def business_days(spark: SparkSession, day: str, n: int) -> DataFrame:
     """The n weekdays up to a day, latest first."""
     days = spark.range(1).select(F.explode(F.sequence(F.date_sub(F.lit(day).cast("date"), 2 * n + 4), F.lit(day).cast("date"))).alias("day"))

@@ -137,6 +137,17 @@ def test_prices(spark, tmp_path):
     assert [r["day"] for r in market.business_days(spark, "2024-06-03", 2).collect()] == [date(2024, 6, 3), date(2024, 5, 31)]
 
 
+def test_price_layouts(spark, tmp_path):
+    (tmp_path / "new.csv").write_text('\nTradDt,FinInstrmId,FinInstrmNm,ClsPric\n2024-09-02,5,"Bolts, ""fine""\nand nuts",10.5\n')
+    (tmp_path / "old.csv").write_text("SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,LAST,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TIMESTAMP,\nABC,EQ,1,2,0.5,1.5,x,1,100,150,2-JAN-2006,\nABD,EQ,1,2,1,1,1,1,1,1,,\n")
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    rows = market.load_prices(spark, str(tmp_path)).orderBy("trade_date").collect()
+    assert [(r["layout"], r["trade_date"], r["ticker_symbol"], r["fin_instrm_id"], r["fin_instrm_name"], r["close_price"], r["last_price"]) for r in rows] == [
+        ("legacy", "2006-01-02", "ABC", None, None, 1.5, None),
+        ("new", "2024-09-02", "", 5, 'Bolts, "fine"\nand nuts', 10.5, None),
+    ]
+
+
 def test_document_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"url": "u", "text": "t", "source_name": ["s"]}')
     (tmp_path / "b.json").write_text('{"uniqueID": "7", "URL": "w", "text": "t", "pubdate": "2024-01-01", "sourceName": ["z"]}')
