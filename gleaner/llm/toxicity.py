@@ -7,8 +7,10 @@ looked up all at once: for every word a bit-parallel nondeterministic
 Levenshtein automaton is run while the trie is walked, and a branch is left as
 soon as no word's automaton has a live state, so that only the intersection is
 visited.  Whole terms match within an edit distance that grows with their
-length; stems match exactly at the beginning of a word.  Words of clean
-documents that happen to lie near a term are learned as exceptions.
+length (one edit from 4 letters, two from 9; learned models allow them at the
+first letter too); stems match exactly at the beginning of a word.  A leading
+@ $ * is no part of a word, so that a term spelled so lacks its first letter.
+Words of clean documents that happen to lie near a term are learned as exceptions.
 
 Each hit is weighed by its context: a term between quotation marks, or within a
 few words of a verb of reporting, is a quotation and counts less.  A logistic
@@ -42,6 +44,8 @@ STEM_LENGTHS = (4, 5, 6, 7)
 #: How much more frequent a term must be in documents with label 1, and how improbable that must be by chance (nats).
 RATIO, SURPRISE = 20.0, 18.0
 REMEMBERED = 300_000
+#: Words that are looked up at a time.
+WORDS = 20_000
 QUOTED_WEIGHT = 0.3
 #: Verbs of reporting and quotation marks.
 REPORTING = frozenset("said says say wrote writes quoted quote called calls termed labelled insult slur word term dit écrit cité mot appelé dijo escribió citó palabra llamó sagte schrieb zitiert wort nannte".split())
@@ -62,14 +66,14 @@ class _Node:
 
 def budget(term: str) -> int:
     """The edit distance within which a whole term matches."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class Lexicon:
     """Terms and stems as a trie; :meth:`find` intersects it with the automata of many words."""
 
-    def __init__(self, terms: list[str], stems: list[str]):
-        self.terms, self.stems = terms, stems
+    def __init__(self, terms: list[str], stems: list[str], anywhere: bool = False):
+        self.terms, self.stems, self.anywhere = terms, stems, anywhere
         self.root = _Node()
         for i, term in enumerate(terms):
             self._insert(term, budget(term)).term = i
@@ -107,8 +111,9 @@ class Lexicon:
                     best[r] = (distance, term)
 
         everyone = np.arange(len(words))
-        # No edit before the first letter: states with errors are empty at the root, and its letters must match.
-        todo = [(self.root, everyone, [np.full(len(words), int(e == 0), np.uint64) for e in range(self.root.budget + 1)])]
+        # Unless edits may be anywhere, none is before the first letter: states with errors are empty at the root, and its letters must match.
+        start = [(2 << e) - 1 if self.anywhere else int(e == 0) for e in range(self.root.budget + 1)]
+        todo = [(self.root, everyone, [np.full(len(words), x, np.uint64) & valid for x in start])]
         while todo:
             node, rows, at = todo.pop()
             for c, child in node.children.items():
@@ -121,7 +126,7 @@ class Lexicon:
                 new: list[np.ndarray] = []
                 for e in range(child.budget + 1):
                     s = (at[e][own] & hits) << one
-                    if e and node is not self.root:
+                    if e and (self.anywhere or node is not self.root):
                         before = at[e - 1][own]
                         s |= before | before << one | new[e - 1] << one
                     elif e:
@@ -149,6 +154,8 @@ class Model:
     #: What a misspelled term counts, compared with an exact one.
     misspelled: float = 0.0
     weights: np.ndarray | None = None
+    #: Whether the first letter may be misspelled too.
+    anywhere: bool = False
 
 
 def words(text: str) -> list[str]:
@@ -159,7 +166,7 @@ class Finder:
     """Weighed hits of texts.  Remembers which words match and which do not."""
 
     def __init__(self, model: Model):
-        self.lexicon, self.exceptions = Lexicon(model.terms, model.stems), model.exceptions
+        self.lexicon, self.exceptions = Lexicon(model.terms, model.stems, model.anywhere), model.exceptions
         self.misspelled = model.misspelled
         self.plain: set[str] = set()
         self.matching: dict[str, tuple[str, int]] = {}
@@ -168,7 +175,7 @@ class Finder:
         new = [t for t in tokens if t not in self.plain and t not in self.matching]
         if len(self.plain) > REMEMBERED:
             self.plain.clear()
-        found = {w: m for w, m in self.lexicon.find(new).items() if m[1] == 0 or w not in self.exceptions}
+        found = {w: m for i in range(0, len(new), WORDS) for w, m in self.lexicon.find(new[i : i + WORDS]).items() if m[1] == 0 or w not in self.exceptions}
         self.matching |= found
         self.plain.update(w for w in new if w not in found)
 
@@ -314,7 +321,7 @@ def learn(sample: DataFrame, n_clean: int, n_toxic: int) -> Model:
     terms = [k[2:] for k in sure if k[:2] == "w:" and not any(k[2:].startswith(s) for s in stems)]
     stems, terms = stems[:TERMS], terms[:TERMS]
 
-    near = Model(terms, stems)
+    near = Model(terms, stems, anywhere=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(near)
@@ -324,14 +331,20 @@ def learn(sample: DataFrame, n_clean: int, n_toxic: int) -> Model:
                     tokens = set(words(text))
                     finder.learn(tokens)
                     hit = [t for t in tokens if finder.matching.get(t, ("", 0))[1]]
+                    half = xxhash.xxh64_intdigest(text) & 1
                     if hit:
-                        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.string()), pa.array([label] * len(hit), pa.int32()), pa.array([1 / len(hit)] * len(hit))], names=["w", "label", "part"])
+                        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.string()), pa.array([label] * len(hit), pa.int32()), pa.array([1 / len(hit)] * len(hit)), pa.array([half] * len(hit), pa.int32())], names=["w", "label", "part", "half"])
 
-    misspelt = held.select("text", "label").mapInArrow(run, "w string, label int, part double")
-    docs = dict(misspelt.groupBy("label").agg(F.sum("part")).collect())
-    wrong = misspelt.where("label = 0").groupBy("w").count().orderBy(F.desc("count"), "w").limit(20 * TERMS).collect()
+    def misspelt(rows: DataFrame) -> DataFrame:
+        return rows.select("text", "label").mapInArrow(run, "w string, label int, part double, half int")
+
+    # How far misspellings tell the labels apart where the exceptions come from other documents: those of one half, held against the other.
+    halves = stored(misspelt(single), "toxicity-misspelt")
+    known = halves.where("label = 0 and half = 0").select("w").distinct()
+    docs = dict(halves.where("half = 1").join(known, "w", "left_anti").groupBy("label").agg(F.sum("part")).collect())
+    wrong = misspelt(held).where("label = 0").groupBy("w").count().orderBy(F.desc("count"), "w").limit(20 * TERMS).collect()
     right, all_ = docs.get(1, 0.0) + 1, docs.get(0, 0.0) + docs.get(1, 0.0) + 1
-    model = Model(terms, stems, frozenset(r[0] for r in wrong), MISSPELLED * right / all_)
+    model = Model(terms, stems, frozenset(r[0] for r in wrong), MISSPELLED * right / all_, anywhere=True)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(model)

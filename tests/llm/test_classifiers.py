@@ -77,6 +77,20 @@ def test_misspelled_and_quoted():
     assert x[0, 0] == 1 and x[1, 0] == 0.8 and x[2, 0] == toxicity.QUOTED_WEIGHT and not x[3].any() and x[4, 1] == 1 and not x[5].any() and x[6, 0] == 0.8
 
 
+def test_first_letters_and_short_terms():
+    model = toxicity.Model(["idiot", "scum", "stupid"], [], frozenset({"spud"}), 0.8, anywhere=True)
+    x = toxicity.Finder(model).features(["1diot", "$tupid", "you scvm", "diot", "xidiot", "spud", "plain", "scum"])
+    assert x[:, 0].tolist() == [0.8, 0.8, 0.8, 0.8, 0.8, 0, 0, 1]
+    r = random.Random(8)
+    word = lambda a, b: "".join(r.choice("abcé") for _ in range(r.randint(a, b)))
+    for _ in range(100):
+        terms, tokens = sorted({word(1, 11) for _ in range(8)}), sorted({word(1, 13) for _ in range(60)})
+        found = toxicity.Lexicon(terms, [], anywhere=True).find(tokens)
+        for t in tokens:
+            near = [(distance(t, x), x) for x in terms if distance(t, x) <= toxicity.budget(x)]
+            assert found.get(t) == ((min(near)[1], min(near)[0]) if near else None)
+
+
 def test_blocks_of_broken_pages():
     page = '<body><nav><ul><li><a href="/x">Home<li>News</ul></nav><p>One <b>two<p>three &amp; four<script>"</p>"</script><div class="ad box">buy</div></body>'
     found = html_blocks.blocks(page)
