@@ -1,10 +1,11 @@
 """Media columns: MPEG audio streams.
 
 :func:`scan` reads a stream: it skips and parses ID3 tags, finds frames by
-their headers (a header counts if the next frame's header follows it, or the
-end), resynchronises after damage, parses the Xing/Info or VBRI table, verifies
-the CRC of protected frames, and gives the exact duration and the offset of
-every frame.  :func:`pack` writes a payload losslessly as a variable-bitrate
+their headers (a header counts if the next frame's header follows it, a tag, or
+the end), resynchronises after damage, parses the Xing/Info or VBRI table, verifies
+the CRC of protected frames of all layers, and gives the exact duration and the
+offset of every frame.  Frames of free format are as long as it is to the next
+header of their kind.  An ID3v1 tag is one only where no frame covers it.  :func:`pack` writes a payload losslessly as a variable-bitrate
 Layer III stream: granules without main data (silence) whose ancillary bytes
 carry the payload; :func:`unpack` reads it back.
 
@@ -40,6 +41,14 @@ BITRATES = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Fixed values of Layer II: bits of allocation of each subband, by the table that a rate and bitrate select.
+ALLOCATION = {
+    "a": [4] * 11 + [3] * 12 + [2] * 4,
+    "b": [4] * 11 + [3] * 12 + [2] * 7,
+    "c": [4] * 2 + [3] * 6,
+    "d": [4] * 2 + [3] * 10,
+    "lsf": [4] * 4 + [3] * 7 + [2] * 19,
+}
 
 UNIT = 64
 PACK_RATE = 48000
@@ -56,8 +65,14 @@ class Header:
     rate: int
     padding: int
     mono: bool
-    size: int
+    size: int  # 0: free format
     samples: int
+    bound: int  # subbands with an allocation for each channel (layers I and II)
+
+    @property
+    def kind(self) -> tuple[int, int, int, bool]:
+        """What all frames of a stream share."""
+        return self.version, self.layer, self.rate, self.size == 0
 
     @property
     def side(self) -> int:
@@ -69,29 +84,74 @@ class Header:
 
 @functools.lru_cache(maxsize=4096)
 def parse_header(head: bytes) -> Header | None:
-    """A frame header of 4 bytes, or None if it is none (free-format frames are not handled)."""
+    """A frame header of 4 bytes, or None if it is none.  The size of a free-format frame, which only its successor tells, is 0."""
     if len(head) < 4 or head[0] != 0xFF or head[1] & 0xE0 != 0xE0:
         return None
     version, layer = head[1] >> 3 & 3, 4 - (head[1] >> 1 & 3)
     kbits, rate = head[2] >> 4, head[2] >> 2 & 3
-    if version == 1 or layer == 4 or kbits in (0, 15) or rate == 3 or head[3] & 3 == 2:
+    if version == 1 or layer == 4 or kbits == 15 or rate == 3 or head[3] & 3 == 2:
         return None
     bitrate, hertz, padding = BITRATES[version == 3, layer][kbits] * 1000, SAMPLE_RATES[version][rate], head[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
-    size = (12 * bitrate // hertz + padding) * 4 if layer == 1 else samples // 8 * bitrate // hertz + padding
-    return Header(version, layer, not head[1] & 1, bitrate, hertz, padding, head[3] >> 6 == 3, size, samples)
+    size = 0 if not bitrate else (12 * bitrate // hertz + padding) * 4 if layer == 1 else samples // 8 * bitrate // hertz + padding
+    bound = 4 * (head[3] >> 4 & 3) + 4 if head[3] >> 6 == 1 else 32
+    return Header(version, layer, not head[1] & 1, bitrate, hertz, padding, head[3] >> 6 == 3, size, samples, bound)
 
 
 @functools.lru_cache(maxsize=4096)
 def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     """CRC-16 with polynomial 0x8005, most significant bit first."""
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return crc16_bits(data, 8 * len(data), crc)
+
+
+def crc16_bits(data: bytes, bits: int, crc: int = 0xFFFF) -> int:
+    """The same over the first ``bits`` bits."""
+    for k in range(bits):
+        top = crc >> 15 ^ data[k >> 3] >> 7 - (k & 7) & 1
+        crc = (crc << 1 ^ (0x8005 if top else 0)) & 0xFFFF
     return crc
 
 
+def _layer2_widths(head: Header) -> list[int]:
+    """Bits of allocation of each subband of a Layer II frame."""
+    if head.version != 3:
+        return ALLOCATION["lsf"]
+    each = head.bitrate // (1 if head.mono else 2)
+    if head.bitrate and each <= 48000:
+        return ALLOCATION["d" if head.rate == 32000 else "c"]
+    return ALLOCATION["a" if head.rate == 48000 or 0 < each <= 80000 else "b"]
+
+
+def covered_bits(frame: bytes, head: Header) -> int:
+    """Bits after the checksum that it covers: side information, or allocations and (Layer II) the selection of scale factors."""
+    channels = 1 if head.mono else 2
+    if head.layer == 3:
+        return 8 * head.side
+    if head.layer == 1:
+        bound = 32 if head.mono else head.bound
+        return 4 * (bound * channels + 32 - bound)
+    bits = int.from_bytes(frame[6:38], "big")
+    at = chosen = 0
+    for band, width in enumerate(_layer2_widths(head)):
+        for _ in range(channels if band < head.bound else 1):
+            at += width
+            if bits >> 256 - at & (1 << width) - 1:
+                chosen += channels if band >= head.bound else 1
+    return at + 2 * chosen
+
+
+def checksum_holds(frame: bytes, head: Header) -> bool:
+    """Whether the checksum of a protected frame is that of the bits it covers."""
+    bits = covered_bits(frame, head)
+    if head.layer == 3 and 6 + head.side <= len(frame):
+        crc = crc16(frame[2:4] + frame[6 : 6 + head.side])
+    elif 48 + bits <= 8 * len(frame):
+        crc = crc16_bits(frame[2:4] + frame[6:], 16 + bits)
+    else:
+        return False
+    return crc == int.from_bytes(frame[4:6], "big")
+
+
 @dataclass
 class Stream:
     tags: dict[str, str] = field(default_factory=dict)
@@ -177,57 +237,98 @@ def read_table(frame: bytes, head: Header) -> dict:
         _, delay, _, total, frames, entries, scale, width, step = struct.unpack(">HHHIIHHHH", frame[40:62])
         raw = frame[62 : 62 + entries * width]
         toc = [int.from_bytes(raw[i : i + width], "big") * scale for i in range(0, len(raw), width)] if width else []
-        return {"kind": "VBRI", "bytes": total, "frames": frames, "toc": toc, "frames_per_entry": step, "vbri_delay": delay}
+        return {"kind": "VBRI", "bytes": total, "frames": frames, "toc": toc, "frames_per_entry": step, "delay": delay}
     return {}
 
 
+#: Bytes within which the frame after one of free format begins; above the longest frame of a stated bitrate.
+FREE_REACH = 8192
+
+
+def _free_size(data: bytes, pos: int, head: Header) -> int:
+    """Length without padding of a free-format frame: it ends where the next header of its kind stands; 0 if none does."""
+    at = pos + 4
+    while 0 <= (at := data.find(data[pos : pos + 2], at, pos + FREE_REACH)):
+        follow = parse_header(data[at : at + 4])
+        if follow is not None and follow.kind == head.kind:
+            return at - pos - head.padding * (4 if head.layer == 1 else 1)
+        at += 1
+    return 0
+
+
 def scan(data: bytes) -> Stream:
     """Parse a whole stream.  Offsets are of the audio frames, without the table's own frame."""
     out = Stream()
     end, pos = len(data), 0
-    if v1 := read_id3v1(data):
-        out.tags |= v1
-        end -= 128
+    v1 = read_id3v1(data)
+    tail = end - 128 if v1 else -1
     anchor: Header | None = None
     lost = False
+    free = 0
+    upcoming = {b"\xff": -1, b"ID3": -1}  # where each mark stands next, as far as searched
+
+    def fit(pos: int) -> tuple[Header, int] | None:
+        """The frame at a position: its header and where it ends."""
+        nonlocal free
+        head = parse_header(data[pos : pos + 4])
+        if head is None or anchor is not None and head.kind != anchor.kind:
+            return None
+        size = head.size
+        if not size:
+            base = free or _free_size(data, pos, head)
+            if not base:
+                return None
+            size = base + head.padding * (4 if head.layer == 1 else 1)
+        after = pos + size
+        if after > end:
+            return None
+        # A frame directly after a good one is trusted; else what follows must be a frame, a tag or the end.
+        if anchor is None or lost:
+            follow = parse_header(data[after : after + 4])
+            if not (after >= end or after == tail or data[after : after + 3] == b"ID3" or follow is not None and follow.kind == head.kind):
+                return None
+        if not head.size:
+            free = base
+        return head, after
+
     while pos < end:
+        if pos == tail:
+            out.tags |= v1
+            break
         if data[pos] == 0x49:
             tags, after = read_id3v2(data, pos)
             if after > pos:
                 out.tags |= tags
                 pos, lost = after, False
                 continue
-        head = parse_header(data[pos : pos + 4])
-        fits = head is not None and pos + head.size <= end and (anchor is None or (head.version, head.layer, head.rate) == (anchor.version, anchor.layer, anchor.rate))
-        if fits:
-            # A frame directly after a good one is trusted; after a loss, what follows must be a frame, a tag or the end.
-            after = pos + head.size
-            follow = parse_header(data[after : after + 4])
-            fits = anchor is not None and not lost or after >= end or data[after : after + 3] == b"ID3" or follow is not None and (follow.version, follow.layer, follow.rate) == (head.version, head.layer, head.rate)
-        if not fits:
-            candidates = [p for mark in (b"\xff", b"ID3") if (p := data.find(mark, pos + 1, end)) >= 0]
-            step = min(candidates, default=end)
+        found = fit(pos)
+        if found is None:
+            for mark, place in upcoming.items():
+                if place <= pos:
+                    place = data.find(mark, pos + 1, end)
+                    upcoming[mark] = place if place >= 0 else end
+            step = min(*upcoming.values(), tail if tail > pos else end)
             out.skipped += step - pos
             out.resyncs += not lost
             pos, lost = step, True
             continue
-        frame = data[pos : pos + head.size]
+        head, after = found
+        frame = data[pos:after]
         if anchor is None:
             out.rate = head.rate
             table = read_table(frame, head)
             anchor = head
             if table:
-                out.table, pos, lost = table, pos + head.size, False
+                out.table, pos, lost = table, after, False
                 continue
-        if head.protected and head.layer == 3:
+        if head.protected:
             out.checked += 1
-            covered = frame[2:4] + frame[6 : 6 + head.side]
-            out.bad_checksums += crc16(covered) != int.from_bytes(frame[4:6], "big")
+            out.bad_checksums += not checksum_holds(frame, head)
         out.offsets.append(pos)
-        out.sizes.append(head.size)
+        out.sizes.append(after - pos)
         out.side.append((6 if head.protected else 4) + head.side)
         out.samples += head.samples
-        pos, lost = pos + head.size, False
+        pos, lost = after, False
     return out
 
 

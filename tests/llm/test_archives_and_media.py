@@ -1,8 +1,10 @@
 """WARC archives and MPEG audio: round trips, damage, literal frames."""
 
+import hashlib
 import io
 import os
 import random
+import zlib
 from fractions import Fraction
 
 import pytest
@@ -95,3 +97,79 @@ def test_other_headers_and_tags():
     lame[65:68] = (576 << 12 | 100).to_bytes(3, "big")
     s = mpeg_audio.scan(bytes(lame) + frame * 3)
     assert s.table["delay"] == 576 and s.duration == Fraction(3 * 1152 - 676, 44100)
+
+
+@pytest.mark.parametrize("word", ["TAG", "ID3", "LAME", "Xing", "Info", "VBRI", "\xff\xfb"])
+def test_marks_of_tags_inside_payload(word):
+    for lead in ("", "x", "xx"):
+        for n in [*range(0, 70), 301, 999, 2999]:
+            raw = (lead + word * n).encode("latin-1")
+            assert mpeg_audio.unpack(mpeg_audio.pack(raw)) == mpeg_audio.padded(raw)
+    tag = b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
+    s = mpeg_audio.scan(mpeg_audio.pack(b"TAG" * 21) + tag)
+    assert s.tags["v1:title"] == "Title" and not s.skipped and s.table["frames"] == len(s.offsets)
+
+
+def plain_crc(bits):
+    crc = 0xFFFF
+    for bit in bits:
+        crc = crc << 1 ^ (0x8005 if crc >> 15 ^ bit else 0)
+        crc &= 0xFFFF
+    return crc
+
+
+def bits_of(raw):
+    return [b >> 7 - k & 1 for b in raw for k in range(8)]
+
+
+@pytest.mark.parametrize(
+    "head, body, covered",
+    [
+        (b"\xff\xfe\x80\xc0", b"\x12\x34" * 8, 128),  # Layer I, mono: 32 allocations of 4 bits
+        (b"\xff\xfe\x80\x00", b"\x12\x34" * 16, 256),  # stereo: twice as many
+        (b"\xff\xfe\x80\x50", b"\x12\x34" * 12, 160),  # joint stereo from subband 8 on: 2 * 8 + 24 allocations
+        (b"\xff\xfc\x44\xc0", bytes(11), 88),  # Layer II, mono at 48 kHz: 11 * 4 + 12 * 3 + 4 * 2, none used
+        (b"\xff\xfc\x44\xc0", b"\x10" + bytes(10), 90),  # one subband used: 2 bits more
+        (b"\xff\xf4\x84\xc0", b"\x11" + bytes(10), 79),  # half the rates: 4 * 4 + 7 * 3 + 19 * 2, two used
+    ],
+)
+def test_checksums_of_layers_one_and_two(head, body, covered):
+    parsed = mpeg_audio.parse_header(head)
+    crc = plain_crc((bits_of(head[2:] + body.ljust(60, b"\0")))[: 16 + covered])
+    frame = (head + crc.to_bytes(2, "big") + body).ljust(parsed.size, b"\0")
+    s = mpeg_audio.scan(frame * 3)
+    assert (s.checked, s.bad_checksums, len(s.offsets)) == (3, 0, 3)
+    torn = bytearray(frame * 3)
+    torn[parsed.size + 6] ^= 0x80
+    assert mpeg_audio.scan(bytes(torn)).bad_checksums == 1
+
+
+def test_free_format_and_delay():
+    frame = b"\xff\xfb\x00\x00".ljust(700, b"\x55")
+    s = mpeg_audio.scan(frame * 6)
+    assert s.offsets == [700 * k for k in range(5)] + [3500] and s.sizes == [700] * 6 and s.duration == Fraction(6 * 1152, 44100)
+    vbri = (b"\xff\xfb\x90\x00" + bytes(32) + b"VBRI" + bytes([0, 1, 4, 0, 0, 75]) + bytes(8) + bytes(8)).ljust(417, b"\0")
+    s = mpeg_audio.scan(vbri + (b"\xff\xfb\x90\x00" + bytes(413)) * 4)
+    assert s.table["delay"] == 1024 and s.duration == Fraction(4 * 1152 - 1024, 44100)
+
+
+def test_scanning_noise_takes_time_in_proportion():
+    for noise in (b"\xff" * 300_000, b"ID3" * 100_000, b"\xff\xfb\x00" * 100_000, b"TAG" * 100_000):
+        assert mpeg_audio.scan(noise).bad_checksums == 0
+
+
+def test_every_column_of_the_audio_query(spark, sf_dir):
+    texts = dict(queries.table(spark, sf_dir, "documents").select("doc_id", "text").collect())
+    rows = queries.op1_mpeg_audio(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    media = {}
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stream = mpeg_audio.pack(raw)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest())
+        # 320 kbit/s at 48 kHz is 960 bytes a frame, 23 of them header, checksum and side information.
+        n = -(-len(payload) // 937)
+        assert r["feature"].startswith(f"Xing {n} frames, 48000 Hz, {Fraction(n * 1152, 48000).numerator}/{Fraction(n * 1152, 48000).denominator} s, crc {n}/{n}, seek ")
+        assert media.setdefault(r["media_sha256"], r["feature"]) == r["feature"]
