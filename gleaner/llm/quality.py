@@ -3,7 +3,8 @@
 The statistics are counts and ratios of whole texts (characters by class,
 overall and by eighths of the text; words; repeated words, pairs and lines).
 The trees are fitted on the driver from the statistics of a bounded sample of
-labelled documents and scored in batches as flat arrays.
+labelled documents and scored in batches as flat arrays.  Long texts are gone
+through in steps of :data:`STEP` bytes; of their words 8 bytes each are held.
 
 Cases: a null or empty text has all statistics 0 and gets a score like any
 other; without labels, or with one only, every score is the same (0.5 without
@@ -18,6 +19,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ from .boosting import Forest, fit
 #: Labelled documents from which a model is fitted at most.
 SAMPLE = 20_000
 PARTS = 8
+#: Bytes of text that are looked at in one step.
+STEP = 4 << 20
+_BLANK = b" \t\n\r\x0b\x0c"
 
 
 def _classes() -> np.ndarray:
@@ -70,14 +75,79 @@ def _word_statistics(raw: bytes) -> list[float]:
     ]
 
 
+def _cuts(data: np.ndarray, marks: bytes, step: int) -> list[int]:
+    """Positions about ``step`` bytes apart that each follow one of the ``marks``, and the ends."""
+    out, at = [0], 0
+    is_mark = np.zeros(256, bool)
+    is_mark[list(marks)] = True
+    while at + step < len(data):
+        look = at + step
+        while look < len(data):
+            places = np.flatnonzero(is_mark[data[look : look + step]])
+            if len(places):
+                break
+            look += step
+        at = look + int(places[0]) + 1 if look < len(data) else len(data)
+        out.append(at)
+    return out if out[-1] == len(data) else [*out, len(data)]
+
+
+def _long_word_statistics(data: np.ndarray, step: int = STEP) -> list[float]:
+    """The same for a long text, in steps: words and lines are held as 64-bit hashes, which in sorted order tell how many differ."""
+    digest = xxhash.xxh64_intdigest
+    hashes: list[np.ndarray] = []
+    total = longest = 0
+    edges = _cuts(data, _BLANK, step)
+    for a, b in zip(edges, edges[1:], strict=False):
+        w = data[a:b].tobytes().split()
+        hashes.append(np.fromiter(map(digest, w), np.uint64, len(w)))
+        total, longest = total + sum(map(len, w)), max(longest, max(map(len, w), default=0))
+    h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    hashes.clear()
+    n = len(h)
+    if not n:
+        return [0.0] * 12
+    same = int(np.count_nonzero(h[1:] == h[:-1]))
+    pairs = _distinct(h[1:] ^ (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
+    distinct = _distinct(h)  # sorts in place
+    runs = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    most = int(np.diff(runs, append=n).max())
+    lines: list[np.ndarray] = []
+    widest = 0
+    edges = _cuts(data, b"\n", step)
+    for a, b in zip(edges, edges[1:], strict=False):
+        x = [y for y in data[a:b].tobytes().split(b"\n") if y]
+        lines.append(np.fromiter(map(digest, x), np.uint64, len(x)))
+        widest = max(widest, max(map(len, x), default=0))
+    own = np.concatenate([np.zeros(0, np.uint64), *lines])
+    n_lines = max(len(own), 1)
+    return [n, total / n, longest, distinct / n, distinct / n**0.5, most / n, same / n, pairs / n, len(own), n / n_lines, _distinct(own) / n_lines, widest]
+
+
+def _distinct(hashes: np.ndarray) -> int:
+    """How many values differ; sorts them in place."""
+    hashes.sort()
+    return int(np.count_nonzero(hashes[1:] != hashes[:-1])) + min(len(hashes), 1)
+
+
+def _class_counts(data: np.ndarray, starts: np.ndarray, step: int = STEP) -> np.ndarray:
+    """Bytes of each class in each part of each text, (text, part, class)."""
+    n, sizes = len(starts) - 1, np.diff(starts)
+    counts = np.zeros(n * PARTS * N_CLASSES, np.int64)
+    for begin in range(0, len(data), step):
+        end = min(begin + step, len(data))
+        rows = np.arange(np.searchsorted(starts, begin, "right") - 1, np.searchsorted(starts, end, "left"))
+        here = np.minimum(starts[rows + 1], end) - np.maximum(starts[rows], begin)
+        part = (np.arange(begin, end) - np.repeat(starts[rows], here)) * PARTS // np.repeat(sizes[rows], here)
+        counts += np.bincount((np.repeat(rows, here) * PARTS + part) * N_CLASSES + CLASSES[data[begin:end]], minlength=len(counts))
+    return counts.reshape(n, PARTS, N_CLASSES)
+
+
 def statistics(column: pa.Array) -> np.ndarray:
     """A row of statistics for each text of a string column."""
     data, starts = text_buffer(column)
     n, sizes = len(column), np.diff(starts)
-    owner = np.repeat(np.arange(n), sizes)
-    within = np.arange(len(data)) - np.repeat(starts[:-1], sizes)
-    part = within * PARTS // np.maximum(np.repeat(sizes, sizes), 1)
-    counts = np.bincount((owner * PARTS + part) * N_CLASSES + CLASSES[data], minlength=n * PARTS * N_CLASSES).reshape(n, PARTS, N_CLASSES).astype(float)
+    counts = _class_counts(data, starts).astype(float)
     whole = counts.sum(axis=1)
     total = np.maximum(sizes, 1)[:, None]
     ratio = whole / total
@@ -85,8 +155,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     blanks = np.maximum(counts[:, :, 4] + counts[:, :, 5], 1)
     upper, marks, bars, shouts = counts[:, :, 2] / letters, counts[:, :, 8] / blanks, counts[:, :, 9] / blanks, counts[:, :, 7] / blanks
     extremes = [f(x, axis=1) for x in (upper, marks, bars, shouts) for f in (np.max, np.mean)]
-    raw = data.tobytes()
-    words = np.array([_word_statistics(raw[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]).reshape(n, 12)
+    spans = zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)
+    words = np.array([_word_statistics(data[a:b].tobytes()) if b - a <= STEP else _long_word_statistics(data[a:b]) for a, b in spans]).reshape(n, 12)
     return np.column_stack([np.log1p(sizes), ratio, *extremes, words])
 
 

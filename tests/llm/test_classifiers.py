@@ -139,3 +139,14 @@ def test_main_text_of_pages(spark, sf_dir):
         inner = r["html"][r["html"].index("<article>") : r["html"].index("</article>")]
         assert rows[r["page_id"]]["text"] == "\n".join(b.text for b in html_blocks.blocks(inner))
         assert rows[r["page_id"]]["n_chars"] == len(rows[r["page_id"]]["text"])
+
+
+@pytest.mark.parametrize("step", [1, 2, 5, 1000])
+def test_statistics_of_long_texts_in_steps(step):
+    r = random.Random(step)
+    for _ in range(200):
+        raw = "".join(r.choice(["a", "b", " ", "\n", "\t", "ab", "é", "a b", "\n\n"]) for _ in range(r.randint(0, 60))).encode()
+        data = np.frombuffer(raw, np.uint8)
+        assert quality._long_word_statistics(data, step) == quality._word_statistics(raw)
+        starts = np.array([0, len(raw) // 3, len(raw) // 3, len(raw)])
+        assert np.array_equal(quality._class_counts(data, starts, step), quality._class_counts(data, starts))
