@@ -8,13 +8,16 @@ the end backwards.  The table is linear in the text, whatever its length.
 
 Merging is decided by the joined string alone (any two neighbours whose joined
 string is a piece may merge, best score first), which is what makes the test on
-pairs sufficient as long as scores differ.  Runs of spaces, whose pieces share
-one score, and characters that only occur inside longer pieces are merged
-directly instead.
+pairs sufficient as long as scores differ.  Words with runs of spaces, whose
+pieces share one score, or with characters that only occur inside longer pieces
+are merged directly instead.  Many short words are looked at together by numpy;
+for a long word the same automaton is walked character by character.
 
 Cases: a null or empty text has only the begin and end ids and decodes to "";
-characters outside the vocabulary become byte pieces; repeated rows, empty
-tables and other columns are as for any projection.
+characters outside the vocabulary become byte pieces; very long texts are
+encoded whole, in sections that end between words, so that memory grows with
+the ids and the longest word; repeated rows, empty tables and other columns are
+as for any projection.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import sentencepiece
@@ -29,9 +34,15 @@ from pyspark.sql import DataFrame
 
 from .arrow import per_text
 from .bpe import NEVER, merge, merge_until
-from .tables import Table64, WordMemory, code_points, document_sums
+from .tables import Table64, WordMemory, code_points, cut_text, document_sums, groups_by_size
 
 SPACE = "\u2581"
+#: Words up to this size are looked at many at a time.
+SHORT = 64
+#: Ids that are decoded at a time.
+DECODED = 1 << 18
+#: Remembered pairs of tokens.
+PAIRS = 1_000_000
 
 
 def _one_byte(error: UnicodeDecodeError):
@@ -65,6 +76,8 @@ class PieceBpe:
                 if not sp.is_unused(i):
                     self.pieces[piece] = i
                     self.score[piece] = -sp.get_score(i)
+        self.is_byte = np.zeros(len(self.surface), bool)
+        self.is_byte[self.byte_ids] = True
         inner = {c for p in self.pieces for c in p}
         self.spaced = {i for p, i in self.pieces.items() if p[0] == SPACE}
         self.direct_only = inner - self.pieces.keys()
@@ -111,6 +124,9 @@ class PieceBpe:
         self.pairs = Table64(2 * len(pairs))
         self.pairs.put(np.array(list(pairs), np.uint64) + np.uint64(2), np.fromiter(pairs.values(), np.int64))
         self.fits = Table64(1 << 16)
+        self.walk = {a << 21 | c: n for (a, c), n in nodes.items()}
+        self.walk_pairs, self.walk_fits = pairs, {}
+        self.plain = [x.tolist() for x in (self.accept, self.ids, self.sizes, self.left, self.right)]
 
     def rank(self, a: str, b: str) -> float:
         return self.score.get(a + b, NEVER)
@@ -145,7 +161,7 @@ class PieceBpe:
         if len(new):
             distinct, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
             fit = self._compatible(a[new[first]], b[new[first]]).astype(np.int64)
-            if self.fits.used > 1_000_000:
+            if self.fits.used > PAIRS:
                 self.fits.reset(1 << 16)
             self.fits.put(distinct, fit)
             found[new] = fit[back]
@@ -193,6 +209,53 @@ class PieceBpe:
             out += [ids[r, width - c :] for r, c in enumerate(count.tolist())]
         return out
 
+    def _fits(self, a: int, b: int) -> bool:
+        """:meth:`_compatible` for one pair."""
+        sizes, lefts, rights = self.plain[2:]
+        limit = 1 << 40
+        while True:
+            joined = self.walk_pairs.get(a << 32 | b)
+            if joined is not None and joined < limit:
+                return False
+            if sizes[max(a, b)] <= 1:
+                return True
+            if a > b:
+                limit, a = a, rights[a]
+            else:
+                limit, b = b + 1, lefts[b]
+
+    def _long_ids(self, word: str) -> list[int]:
+        """The same table for one word, filled by walking the automaton from every character, and read backwards."""
+        accept, ids, sizes = self.plain[:3]
+        walk, fits = self.walk, self.walk_fits
+        codes = array("I", code_points(word).tobytes())
+        n, longest = len(codes), self.longest
+        last = array("i", [-1]) * (n + 1)
+        for j in range(n):
+            before, node = last[j], 0
+            for p in range(j, min(j + longest, n)):
+                node = walk.get(node << 21 | codes[p])
+                if node is None:
+                    break
+                token = accept[node]
+                if token < 0:
+                    continue
+                if j:
+                    pair = before << 32 | token
+                    fit = fits.get(pair)
+                    if fit is None:
+                        if len(fits) > PAIRS:
+                            fits.clear()
+                        fit = fits[pair] = self._fits(before, token)
+                    if not fit:
+                        continue
+                last[p + 1] = token
+        out = []
+        while n:
+            out.append(ids[last[n]])
+            n -= sizes[last[n]]
+        return out[::-1]
+
     def tokens(self, word: str) -> list[str]:
         """Pieces of a word by direct merging."""
         return merge(list(word), self.rank)
@@ -203,8 +266,8 @@ class PieceBpe:
         for k, part in enumerate(self.inside.split(word)):
             if k % 2:
                 ids += [self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")]
-            elif part and len(part) > 1000 and SPACE * 2 not in part and not self.direct_only.intersection(part):
-                ids += self._table_ids([part])[0].tolist()
+            elif part and SPACE * 2 not in part and not self.strange(part):
+                ids += self._long_ids(part)
             elif part:
                 for token in self.tokens(part):
                     i = self.pieces.get(token)
@@ -215,7 +278,7 @@ class PieceBpe:
         """Ids of many words."""
         plain, out = [], [None] * len(words)
         for k, w in enumerate(words):
-            if len(w) <= 64 and SPACE * 2 not in w and not self.strange(w):
+            if len(w) <= SHORT and SPACE * 2 not in w and not self.strange(w):
                 plain.append(k)
             else:
                 out[k] = self.word_ids(w)
@@ -223,14 +286,31 @@ class PieceBpe:
             out[k] = ids
         return out
 
+    @staticmethod
+    def _borders(codes: np.ndarray) -> np.ndarray:
+        """Where words begin: at line ends and at spaces after something else."""
+        space = (codes == 32) | (codes == ord(SPACE))
+        return np.flatnonzero((codes[1:] == 10) | space[1:] & ~space[:-1]) + 1
+
     def encode(self, texts: list[str], ends: bool = True) -> list[np.ndarray]:
         """Ids of each text."""
-        joined = "".join([SPACE + t for t in texts if t]).replace(" ", SPACE)
+        sections = [cut_text(t, self._borders) for t in texts]
+        parts: list[list[np.ndarray]] = [[np.array([self.bos] * ends, np.uint32)] for _ in texts]
+        owners = [k for k, cut in enumerate(sections) for _ in cut]
+        flat = [SPACE + x if k == 0 and x else x for cut in sections for k, x in enumerate(cut)]
+        for a, b in groups_by_size(flat):
+            for owner, ids in zip(owners[a:b], self._encode(flat[a:b]), strict=True):
+                parts[owner].append(ids)
+        end = np.array([self.eos] * ends, np.uint32)
+        return [np.concatenate((*p, end)) for p in parts]
+
+    def _encode(self, sections: list[str]) -> list[np.ndarray]:
+        """Ids of sections of texts, which begin with a word each."""
+        joined = "".join(sections).replace(" ", SPACE)
         codes = code_points(joined)
-        bounds = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
-        begin, end = np.array([self.bos] * ends, np.uint32), np.array([self.eos] * ends, np.uint32)
+        bounds = np.cumsum([0, *map(len, sections)])
         if not len(codes):
-            return [np.concatenate((begin, end)) for _ in texts]
+            return [np.zeros(0, np.uint32) for _ in sections]
         space, line = codes == ord(SPACE), codes == 10
         start = space | line
         start[1:] &= ~(space[1:] & space[:-1])
@@ -240,22 +320,34 @@ class PieceBpe:
         entries = self.memory.entries(joined, codes, starts)
         ids = self.memory.gather(entries)
         cuts = np.concatenate(([0], np.cumsum(document_sums(self.memory.count[entries], np.searchsorted(starts, bounds)))))
-        return [np.concatenate((begin, ids[a:b], end)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def decode_parts(self, ids) -> Iterator[str]:
+        """The decoded text in parts; none is cut inside a run of byte pieces."""
+        ids = np.asarray(ids, np.int64)
+        surface, begin, first = self.surface, 0, True
+        while begin < len(ids):
+            end = min(begin + DECODED, len(ids))
+            while end < len(ids) and self.is_byte[ids[end]]:
+                end += 1
+            own = ids[begin:end].tolist()
+            parts = [surface[i] for i in own]
+            if first:
+                for k, p in enumerate(parts):
+                    if p:
+                        if own[k] in self.spaced:
+                            parts[k] = p[1:]
+                        first = False
+                        break
+            at = 0
+            for k in [k for k, p in enumerate(parts) if not p] + [len(parts)]:
+                yield b"".join(parts[at:k]).decode("utf-8", "gleaner_one_byte")
+                at = k + 1
+            begin = end
 
     def decode(self, ids) -> str:
         """Text of a sequence of ids; the space that encoding puts first is taken off, bytes that are no character become U+FFFD each; a control id ends a run of bytes."""
-        surface = self.surface
-        parts = [surface[i] for i in ids]
-        for k, p in enumerate(parts):
-            if p:
-                if ids[k] in self.spaced:
-                    parts[k] = p[1:]
-                break
-        out, begin = [], 0
-        for k in [k for k, p in enumerate(parts) if not p] + [len(parts)]:
-            out.append(b"".join(parts[begin:k]).decode("utf-8", "gleaner_one_byte"))
-            begin = k + 1
-        return "".join(out)
+        return "".join(self.decode_parts(ids))
 
 
 _LOADED: dict[str, PieceBpe] = {}
@@ -278,7 +370,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keys: tuple[str, ...] =
 
     def make():
         bpe = _loaded(path, model)
-        return lambda texts: [(ids.tolist(),) for ids in bpe.encode(texts)]
+        return lambda texts: [(ids.astype(np.int32),) for ids in bpe.encode(texts)]
 
     return per_text(df, list(keys), text, "ids array<int>", make)
 
@@ -293,8 +385,10 @@ def encode_and_decode(df: DataFrame, path: str, text: str = "text", keys: tuple[
         def rows(texts: list[str]) -> list[tuple]:
             out = []
             for ids in bpe.encode(texts):
-                back = bpe.decode(ids.tolist())
-                out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+                decoded = hashlib.sha256()
+                for part in bpe.decode_parts(ids):
+                    decoded.update(part.encode())
+                out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), decoded.hexdigest()))
             return out
 
         return rows

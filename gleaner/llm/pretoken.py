@@ -16,7 +16,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from .tables import code_points
+from .tables import SECTION, code_points, cut_text
 
 #: Fixed value: the pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -97,20 +97,26 @@ class Splitter:
         self.special = spec["special"]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def _borders(self, codes: np.ndarray) -> np.ndarray:
+        """Where pre-tokens begin whatever else the text holds: at white space after something else, and where a run of letters or numbers ends."""
+        kind = self.classes[codes]
+        a, b = kind[:-1], kind[1:]
+        return np.flatnonzero((b == 0) & (a != 0) | ((a == 1) | (a == 2)) & (a != b)) + 1
+
     def sections(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[tuple[int, str]]]:
-        """All texts cut at special strings: the sections between, the first section of each text (one more for the end), and the special string after a section."""
-        if self.cut is None or not any(self.cut.search(t) for t in texts):
+        """All texts cut at special strings, and long ones at borders of pre-tokens: the sections between, the first section of each text (one more for the end), and the special string after a section."""
+        if all(len(t) <= SECTION for t in texts) and (self.cut is None or not any(self.cut.search(t) for t in texts)):
             return texts, np.arange(len(texts) + 1), []
         out: list[str] = []
         firsts, marks = [], []
         for t in texts:
             firsts.append(len(out))
             at = 0
-            for mark in self.cut.finditer(t):
-                out.append(t[at : mark.start()])
+            for mark in self.cut.finditer(t) if self.cut else ():
+                out += cut_text(t[at : mark.start()], self._borders)
                 marks.append((len(out) - 1, mark[0]))
                 at = mark.end()
-            out.append(t[at:])
+            out += cut_text(t[at:] if at else t, self._borders)
         return out, np.array([*firsts, len(out)]), marks
 
     def split(self, sections: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,6 +7,49 @@ from collections.abc import Callable
 import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Multiplier of the hash of words.
+_STEP = 0xD6E8FEB86659FD93
+#: Characters of a text that are worked on at a time, if it has borders to be cut at.
+SECTION = 1 << 20
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n`` elements at least."""
+    return x if n <= len(x) else np.concatenate((x, np.zeros(n + n // 2 - len(x), x.dtype)))
+
+
+def cut_text(text: str, borders: Callable[[np.ndarray], np.ndarray], limit: int = SECTION) -> list[str]:
+    """A text in sections of ``limit`` characters at most, but for those without a border in so many.
+
+    ``borders`` gives the places in some code points (from 1 on) where a cut
+    changes no word on either side.
+    """
+    if len(text) <= limit:
+        return [text]
+    out, at = [], 0
+    while len(text) - at > limit:
+        cut, look = 0, at
+        while not cut and look < len(text) - 1:
+            places = borders(code_points(text[look : look + limit]))
+            if len(places):
+                cut = look + int(places[-1 if look == at else 0])
+            look += limit - 1
+        if not cut:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def groups_by_size(texts: list[str], limit: int = 4 * SECTION) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts with about ``limit`` characters each."""
+    out, begin, size = [], 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            out.append((begin, k))
+            begin, size = k, 0
+        size += len(t)
+    return [*out, (begin, len(texts))] if texts else []
 
 
 class Table64:
@@ -64,19 +107,19 @@ class Table64:
 class WordMemory:
     """Id sequences of words, by a hash of each word.
 
-    ``compute`` gives the sequences of words that are not yet known.  When the
-    memory holds ``limit`` words it starts anew.  Words beyond ``longest``
-    characters are computed each time, so that the hash, a polynomial of short
-    words with a multiplier drawn for each process, tells words apart.
+    ``compute`` gives the sequences of words that are not yet known.  The memory
+    starts anew when it holds ``limit`` words or ``room`` ids, so its bytes are
+    bounded.  Words beyond ``longest`` characters are computed each time and
+    kept only until the next call.  A word that is found is compared with the
+    one that is held, character by character; should two share a hash, the
+    second is computed each time, so results never rest on the hash.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list[np.ndarray]], kind: str, limit: int = 600_000, longest: int = 40):
-        self.compute, self.kind, self.limit, self.longest = compute, kind, limit, longest
-        step = np.uint64(int.from_bytes(np.random.bytes(8), "little") | 1)
-        powers = [np.uint64(1)]
-        with np.errstate(over="ignore"):
-            for _ in range(longest + 1):
-                powers.append(powers[-1] * step)
+    def __init__(self, compute: Callable[[list[str]], list[np.ndarray]], kind: str, limit: int = 600_000, longest: int = 40, room: int = 8_000_000):
+        self.compute, self.kind, self.limit, self.longest, self.room = compute, kind, limit, longest, room
+        powers = [1]
+        for _ in range(longest + 1):
+            powers.append(powers[-1] * _STEP & (1 << 64) - 1)
         self.powers = np.array(powers, np.uint64)
         self.forget()
 
@@ -85,16 +128,18 @@ class WordMemory:
         self.first = np.zeros(1 << 12, np.int64)
         self.count = np.zeros(1 << 12, np.int64)
         self.pool = np.zeros(1 << 14, self.kind)
-        self.words = self.filled = 0
+        # The words themselves: where their characters begin, and how many they are.
+        self.spelt = np.zeros(1 << 12, np.int64)
+        self.length = np.zeros(1 << 12, np.int64)
+        self.letters = np.zeros(1 << 14, np.uint32)
+        self.words = self.filled = self.written = 0
+        self.kept = (0, 0)
 
     def _add(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Entries of new sequences."""
         sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
         n, total = self.words + len(sizes), self.filled + int(sizes.sum())
-        if n > len(self.first):
-            self.first, self.count = (np.concatenate((x, np.zeros(n + n // 2 - len(x), np.int64))) for x in (self.first, self.count))
-        if total > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(total + total // 2 - len(self.pool), self.kind)))
+        self.first, self.count, self.pool = _grown(self.first, n), _grown(self.count, n), _grown(self.pool, total)
         self.first[self.words : n] = self.filled + np.cumsum(sizes) - sizes
         self.count[self.words : n] = sizes
         if len(sizes):
@@ -103,26 +148,55 @@ class WordMemory:
         self.words, self.filled = n, total
         return entries
 
+    def _spell(self, entries: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the characters of the words of new entries."""
+        n, total = int(entries[-1]) + 1, self.written + int(sizes.sum())
+        self.spelt, self.length, self.letters = _grown(self.spelt, n), _grown(self.length, n), _grown(self.letters, total)
+        before = np.cumsum(sizes) - sizes
+        self.spelt[entries], self.length[entries] = self.written + before, sizes
+        self.letters[self.written : total] = codes[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+        self.written = total
+
+    def _mistaken(self, found: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which of the words that were found are others than those held."""
+        same = self.length[found] == sizes
+        rows = np.flatnonzero(same)
+        n = sizes[rows]
+        before = np.cumsum(n) - n
+        within = np.arange(int(n.sum()))
+        differ = np.flatnonzero(codes[np.repeat(starts[rows] - before, n) + within] != self.letters[np.repeat(self.spelt[found[rows]] - before, n) + within])
+        if len(differ):
+            same[rows[np.searchsorted(before, differ, "right") - 1]] = False
+        return np.flatnonzero(~same)
+
     def entries(self, text: str, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The entry of each word of a text that is cut at ``starts``; ``codes`` are its code points."""
-        if self.words > self.limit:
+        """The entry of each word of a text that is cut at ``starts``; ``codes`` are its code points.  Entries hold until the next call."""
+        self.words, self.filled = self.kept
+        if self.words > self.limit or self.filled > self.room:
             self.forget()
         sizes = np.diff(starts, append=len(codes))
         within = np.minimum(np.arange(len(codes)) - np.repeat(starts, sizes), self.longest)
         hashes = np.add.reduceat((codes + np.uint32(1)).astype(np.uint64) * self.powers[within], starts) * _ODD ^ sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         found = self.table.get(hashes)
         long_ = sizes > self.longest
-        found[long_] = -1
         new = np.flatnonzero((found < 0) & ~long_)
+
+        def computed(at: np.ndarray) -> np.ndarray:
+            return self._add(self.compute([text[a : a + n] for a, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)]))
+
         if len(new):
             distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             at = new[first]
-            added = self._add(self.compute([text[a : a + n] for a, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)]))
+            added = computed(at)
+            self._spell(added, codes, starts[at], sizes[at])
             self.table.put(distinct, added)
             found[new] = added[back]
-        if long_.any():
-            at = np.flatnonzero(long_)
-            found[at] = self._add(self.compute([text[a : a + n] for a, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)]))
+        self.kept = (self.words, self.filled)
+        short = np.flatnonzero(~long_)
+        wrong = short[self._mistaken(found[short], codes, starts[short], sizes[short])]
+        passing = np.concatenate((np.flatnonzero(long_), wrong))
+        if len(passing):
+            found[passing] = computed(passing)
         return found
 
     def gather(self, entries: np.ndarray) -> np.ndarray:

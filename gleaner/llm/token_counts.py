@@ -5,8 +5,9 @@ that come out as the one token they are, are *proven*: a pre-token that equals
 one of them counts 1 by a lookup.  Only the other pre-tokens are merged.
 
 Cases: a null or empty text has 0 tokens; a special string inside a text is one
-token, as the library treats it by default; very long texts and pre-tokens are
-counted whole (merging is n log n); repeated rows give repeated results; an
+token, as the library treats it by default; very long texts are counted whole,
+in sections that end between pre-tokens, so that memory grows with the longest
+pre-token only (merging is n log n); repeated rows give repeated results; an
 empty table gives an empty result; other columns of the input are not read.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from .arrow import per_text
 from .bpe import NEVER, merge
 from .pretoken import Splitter, byte_symbols, describe
-from .tables import WordMemory, document_sums
+from .tables import WordMemory, document_sums, groups_by_size
 
 
 def proven_strings(vocabulary: dict[str, int], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -68,10 +69,11 @@ class TokenCounter:
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         sections, firsts, marks = self.splitter.sections(texts)
-        text, codes, starts, words = self.splitter.split(sections)
         out = np.zeros(len(sections), np.int64)
-        if len(starts):
-            out = document_sums(self.memory.gather(self.memory.entries(text, codes, starts)), words)
+        for a, b in groups_by_size(sections):
+            text, codes, starts, words = self.splitter.split(sections[a:b])
+            if len(starts):
+                out[a:b] = document_sums(self.memory.gather(self.memory.entries(text, codes, starts)), words)
         for section, _ in marks:
             out[section] += 1
         return document_sums(out, firsts)

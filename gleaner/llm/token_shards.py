@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 from .arrow import slices
 from .mphf import MinimalPerfectHash, mix
 from .pretoken import Splitter, describe
-from .tables import WordMemory, document_sums
+from .tables import WordMemory, document_sums, groups_by_size
 from .workspace import AtomicFile, fresh, open_input, read_bytes, stored
 
 MAGIC = b"GLIDS1\0"
@@ -91,18 +91,20 @@ class IdEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as raw bytes."""
         sections, firsts, marks = self.splitter.sections(texts)
-        text, codes, starts, words = self.splitter.split(sections)
-        if not len(starts):
-            parts = [b""] * len(sections)
-        else:
+        parts: list[bytes] = []
+        for begin, end in groups_by_size(sections):
+            text, codes, starts, words = self.splitter.split(sections[begin:end])
+            if not len(starts):
+                parts += [b""] * (end - begin)
+                continue
             entries = self.memory.entries(text, codes, starts)
             raw = self.memory.gather(entries).tobytes()
             sizes = document_sums(self.memory.count[entries], words) * int(self.width[2])
             ends = np.cumsum(sizes)
-            parts = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            parts += [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
         for section, mark in marks:
             parts[section] += self.special[mark]
-        if not marks:
+        if len(sections) == len(texts):
             return parts
         return [b"".join(parts[a:b]) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
 

@@ -109,3 +109,50 @@ def test_queries_on_whole_texts(spark, sf_dir):
         ids = SENTENCEPIECE.encode(texts[r["doc_id"]], add_bos=True, add_eos=True)
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(SENTENCEPIECE.decode(ids).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("unit, n", [("x", 1_000_000), ("aGk0+/Q9zTe", 20_000), ("theingtioner", 20_000), ("日本語の一是不了", 8_000), (" ", 50_000), ("a▁▁b", 9_000), ("é1", 30_000)])
+def test_long_words_are_as_the_library_gives_them(unit, n):
+    text = unit * n
+    assert BPE.encode([text])[0].tolist() == SENTENCEPIECE.encode(text, add_bos=True, add_eos=True)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("abcdeingthos-0é日 \n"), min_size=65, max_size=400))
+def test_both_fillings_of_the_table_agree(text):
+    word = "".join(text.split())
+    if word and not BPE.strange(word):
+        assert BPE._long_ids(word) == BPE._table_ids([word])[0].tolist()
+
+
+@settings(max_examples=40, deadline=None)
+@given(TEXTS)
+def test_sections_change_nothing(texts):
+    from gleaner.llm import piece_bpe, pretoken, tables
+
+    ids, counts, raw = [i.tolist() for i in BPE.encode(texts)], COUNTER.count(texts).tolist(), ENCODER.encode(texts)
+    decoded = [BPE.decode(i) for i in ids]
+    with pytest.MonkeyPatch.context() as patch:
+        cut = tables.cut_text
+        patch.setattr(piece_bpe, "cut_text", lambda text, borders: cut(text, borders, 3))
+        patch.setattr(pretoken, "cut_text", lambda text, borders: cut(text, borders, 3))
+        patch.setattr(pretoken, "SECTION", 3)
+        patch.setattr(piece_bpe, "DECODED", 2)
+        assert [i.tolist() for i in BPE.encode(texts)] == ids and [BPE.decode(i) for i in ids] == decoded
+        assert COUNTER.count(texts).tolist() == counts and ENCODER.encode(texts) == raw
+
+
+def test_words_with_equal_hashes_are_told_apart():
+    coder = token_shards.IdEncoder(TABLES)
+    coder.memory.powers[:] = 0  # all words of one length share a hash
+    texts = ["one two six ten", "the cat sat on the mat", "two one ten six"]
+    for _ in range(2):
+        assert coder.encode(texts) == [np.array(e.ids, "<u2").tobytes() for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_word_memory_is_bounded():
+    coder = token_shards.IdEncoder(TABLES)
+    coder.memory.room = 1000
+    for k in range(20):
+        coder.encode([" ".join(f"w{k}x{i}" for i in range(300)) + " " + "z" * 5000])
+    assert coder.memory.kept[1] < 5000 and len(coder.memory.pool) < 40_000
