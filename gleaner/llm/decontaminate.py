@@ -10,8 +10,12 @@ patterns, and bytes are compared directly.  Many cursors, one per piece of
 text, advance together as numpy vectors.
 
 Patterns fall into classes by length, each with its own tables, so that one
-short item does not shorten the shifts of all.  The benchmark is handled in
-blocks of :data:`BLOCK_BYTES`; a block is what is broadcast.
+short item does not shorten the shifts of all.  Benchmark items are dealt into
+blocks of about :data:`BLOCK_BYTES`; the tables of each block are built once, by
+a Spark task, and written to shared storage.  Whatever their number, blocks are
+data and not plan: one Python stage reads the texts, in groups of
+:data:`GROUP_BYTES` where there are several blocks, and takes each group through
+the blocks one after another, of which it holds :data:`CACHED_BYTES` at most.
 
 Cases: null texts and items have no words; items without words or without id
 are no patterns; repeated items count once; the hits of overlapping windows are
@@ -20,6 +24,10 @@ counted once per document word; empty tables give no hits or no rows.
 
 from __future__ import annotations
 
+import functools
+import pickle
+import re
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .workspace import AtomicFile, fresh, read_bytes, stored
 
 WINDOW = 13
-#: Benchmark text in one broadcast block.
+#: Benchmark text in one block.
 BLOCK_BYTES = 2 << 20
+#: Bytes of built blocks that a worker keeps, at least one.
+CACHED_BYTES = 256 << 20
+#: Bytes of text that go through all blocks together.
+GROUP_BYTES = 32 << 20
 #: Bytes of text that one cursor searches.
 PIECE = 2048
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+_RUNS = re.compile(rb" {2,}")
 
 
 def words(text: str) -> list[bytes]:
@@ -43,6 +57,12 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
+def normalised(text: str) -> bytes:
+    """The words of a text with one space before, between and after them; two spaces if there is none."""
+    spread = b" " + text.encode("utf-8", "surrogatepass").translate(_LOWER) + b" "
+    return _RUNS.sub(b" ", spread) if not spread.isspace() else b"  "
+
+
 class WuManber:
     """Search for byte patterns in classes of similar length."""
 
@@ -127,95 +147,152 @@ class Matcher:
                 owners.setdefault(b" " + b" ".join(w[i : i + window]) + b" ", set()).add(item)
         patterns = list(owners)
         self.sizes = [p.count(b" ") - 1 for p in patterns]
-        self.owners = [owners[p] for p in patterns]
+        self.owners = [tuple(owners[p]) for p in patterns]
         self.search = WuManber(patterns) if patterns else None
 
     def scan(self, texts: list[str]) -> list[tuple[int, np.ndarray, set[str]]]:
         """For each text: number of words, which of them are hit (sorted indices), items with occurring windows."""
-        split = [words(t) for t in texts]
-        counts = np.array([len(w) for w in split], np.int64)
-        items: list[set[str]] = [set() for _ in texts]
+        piece = Piece(texts)
+        self.search_in(piece)
+        return piece.results()
+
+    def search_in(self, piece: Piece) -> None:
+        """Add to a piece what this block hits in it."""
+        found = list(self.search.find(piece.joined)) if self.search else []
+        if not found:
+            return
+        starts, which = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        owner = np.searchsorted(piece.ends, starts)
+        word = np.searchsorted(piece.spaces, starts) - piece.first_space[owner]
+        size = np.asarray(self.sizes)[which]
+        for i in np.unique(owner).tolist():
+            own = owner == i
+            change = np.zeros(piece.counts[i] + 1, np.int64)
+            np.add.at(change, word[own], 1)
+            np.add.at(change, word[own] + size[own], -1)
+            piece.add(i, np.flatnonzero(np.cumsum(change[:-1])), set().union(*(self.owners[k] for k in set(which[own].tolist()))))
+
+
+class Piece:
+    """Some texts as normalised bytes, and what has been hit in them."""
+
+    def __init__(self, texts: list[str]):
+        parts = [normalised(t) for t in texts]
+        self.counts = np.array([p.count(b" ") - 1 if len(p) > 2 else 0 for p in parts], np.int64)
+        self.joined = b"\0".join(parts)
+        self.hit: dict[int, np.ndarray] = {}
+        self.items: dict[int, set[str]] = {}
+
+    # Every normalised text has one space more than words and one byte 0 after it.
+    @functools.cached_property
+    def ends(self) -> np.ndarray:
+        return np.flatnonzero(np.frombuffer(self.joined, np.uint8) == 0)
+
+    @functools.cached_property
+    def spaces(self) -> np.ndarray:
+        return np.flatnonzero(np.frombuffer(self.joined, np.uint8) == 32)
+
+    @functools.cached_property
+    def first_space(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(np.where(self.counts, self.counts + 1, 2))))
+
+    def add(self, i: int, hit: np.ndarray, items: set[str]) -> None:
+        self.hit[i] = np.union1d(self.hit[i], hit) if i in self.hit else hit
+        self.items.setdefault(i, set()).update(items)
+
+    def results(self) -> list[tuple[int, np.ndarray, set[str]]]:
         none = np.zeros(0, np.int64)
-        hit = [none] * len(texts)
-        joined = b"\0".join(b" " + b" ".join(w) + b" " for w in split)
-        found = list(self.search.find(joined)) if self.search else []
-        if found:
-            # Every normalised text has one space more than words and one byte 0 after it.
-            starts, which = (np.array(x, np.int64) for x in zip(*found, strict=True))
-            buffer = np.frombuffer(joined, np.uint8)
-            text_of = np.searchsorted(np.flatnonzero(buffer == 0), starts)
-            first_space = np.concatenate(([0], np.cumsum(np.where(counts, counts + 1, 2))))
-            word = np.searchsorted(np.flatnonzero(buffer == 32), starts) - first_space[text_of]
-            size = np.asarray(self.sizes)[which]
-            for i in np.unique(text_of).tolist():
-                own = text_of == i
-                change = np.zeros(counts[i] + 1, np.int64)
-                np.add.at(change, word[own], 1)
-                np.add.at(change, word[own] + size[own], -1)
-                hit[i] = np.flatnonzero(np.cumsum(change[:-1]))
-                items[i] = set().union(*(self.owners[k] for k in set(which[own].tolist())))
-        return list(zip(counts.tolist(), hit, items, strict=True))
-
-
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """Distinct items as text, in blocks of about ``limit`` bytes (one longer item is a block of its own)."""
-    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))).distinct()
-    block: list[tuple[str, str]] = []
-    size = 0
-    for item, text in rows.toLocalIterator():
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text.encode())
-    yield block
-
-
-def _pass(df: DataFrame, keys: list[str], items: list[tuple[str, str]], window: int, last: bool) -> DataFrame:
-    """Search one block.  Between passes the hits are kept as packed bits and the items as a list."""
-    shared = df.sparkSession.sparkContext.broadcast(items)
-    first = "__hits" not in df.columns
-    head = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + ", " * bool(keys)
-    if last:
-        schema, names = head + "n_words long, n_hit long, n_items long, items array<string>", ["n_words", "n_hit", "n_items", "items"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-    else:
-        schema, names = head + "__text string, __hits binary, __items array<string>", ["__hits", "__items"]
-        kinds = [pa.binary(), pa.list_(pa.string())]
+        return [(n, self.hit.get(i, none), self.items.get(i, set())) for i, n in enumerate(self.counts.tolist())]
+
+
+def write_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[str]:
+    """Build the tables of all blocks in Spark tasks.  Gives the paths of their files: one for each ``block_bytes`` of distinct items."""
+    spark = benchmark.sparkSession
+    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // block_bytes)
+    if not n:
+        return []
+    folder = fresh(spark, "benchmark")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str]] = []
+        number, paths = None, []
+
+        def close() -> None:
+            file = AtomicFile(f"{folder}/block-{number:06d}")
+            file.write(pickle.dumps(Matcher(held, window), pickle.HIGHEST_PROTOCOL))
+            file.close()
+            paths.append(file.uri)
+            held.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, window)
         for batch in batches:
-            for piece in slices(batch, "__text"):
-                texts = ["" if t is None else t for t in piece.column("__text").to_pylist()]
-                rows = []
-                for i, (n, hit, found) in enumerate(matcher.scan(texts)):
-                    if not first:
-                        before = np.unpackbits(np.frombuffer(piece.column("__hits")[i].as_py(), np.uint8))
-                        hit = np.union1d(hit, np.flatnonzero(before))
-                        found = found | set(piece.column("__items")[i].as_py())
-                    listed = sorted(found, key=lambda s: s.encode())
-                    if last:
-                        rows.append((n, len(hit), len(listed), listed))
-                    else:
-                        bits = np.zeros(n, np.uint8)
-                        bits[hit] = 1
-                        rows.append((np.packbits(bits).tobytes(), listed))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                kept = [piece.column(k) for k in keys] + ([] if last else [piece.column("__text")])
-                yield pa.RecordBatch.from_arrays(kept + columns, names=[*keys, *([] if last else ["__text"]), *names])
-
-    return df.mapInArrow(run, schema)
+            for k, item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and k != number:
+                    close()
+                number = k
+                held.append((item, text))
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    # An item longer than a block makes its block longer; others are dealt evenly by a hash.
+    dealt = rows.select(F.pmod(F.xxhash64("item", "text"), F.lit(n)).alias("block"), "item", "text").repartition(int(min(n, 10_000)), "block").sortWithinPartitions("block")
+    return sorted(r[0] for r in stored(dealt.mapInArrow(build, "path string"), "benchmark-blocks").collect())
+
+
+_BLOCKS: OrderedDict[str, tuple[Matcher, int]] = OrderedDict()
+
+
+def _block(path: str) -> Matcher:
+    """A built block, from the worker's cache or from shared storage."""
+    if path not in _BLOCKS:
+        raw = read_bytes(path)
+        # What a built block holds in memory is several times its file.
+        while _BLOCKS and sum(n for _, n in _BLOCKS.values()) + 4 * len(raw) > CACHED_BYTES:
+            _BLOCKS.popitem(last=False)
+        _BLOCKS[path] = pickle.loads(raw), 4 * len(raw)
+    _BLOCKS.move_to_end(path)
+    return _BLOCKS[path][0]
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Keys with n_words, n_hit, n_items, items (sorted as strings), contaminated (5 % of the words hit, at least one)."""
     df = documents.select(*keys, F.col(text).cast("string").alias("__text"))
-    held: list[tuple[str, str]] | None = None
-    for block in _blocks(benchmark, block_bytes):
-        if held is not None:
-            df = _pass(df, list(keys), held, window, last=False)
-        held = block
-    df = _pass(df, list(keys), held or [], window, last=True)
-    return df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    paths = write_blocks(benchmark, window, block_bytes)
+    head = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes) + ", " * bool(keys)
+    names, kinds = ["n_words", "n_hit", "n_items", "items"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], Piece]]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                yield [part.column(k) for k in keys], Piece(["" if t is None else t for t in part.column("__text").to_pylist()])
+
+    def searched(group: list[tuple[list[pa.Array], Piece]]) -> Iterator[pa.RecordBatch]:
+        for path in paths:
+            matcher = _block(path)
+            for _, piece in group:
+                matcher.search_in(piece)
+        for columns, piece in group:
+            rows = []
+            for n, hit, found in piece.results():
+                listed = sorted(found, key=lambda s: s.encode())
+                rows.append((n, len(hit), len(listed), listed))
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*keys, *names])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One block is held all the time, so pieces need not wait for others.
+        limit = GROUP_BYTES if len(paths) > 1 else 1
+        group: list[tuple[list[pa.Array], Piece]] = []
+        size = 0
+        for columns, piece in pieces(batches):
+            group.append((columns, piece))
+            size += len(piece.joined)
+            if size >= limit:
+                yield from searched(group)
+                group, size = [], 0
+        if group:
+            yield from searched(group)
+
+    found = df.mapInArrow(run, head + "n_words long, n_hit long, n_items long, items array<string>")
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

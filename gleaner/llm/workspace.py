@@ -54,6 +54,7 @@ class AtomicFile:
     """
 
     def __init__(self, uri: str):
+        self.uri = uri
         self.files, self.path = locate(uri)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}.part"
         self.files.create_dir(posixpath.dirname(self.path), recursive=True)

@@ -44,3 +44,20 @@ def test_blocks_change_nothing(spark, sf_dir):
     one = decontaminate.contamination(documents, benchmark).collect()
     many = decontaminate.contamination(documents, benchmark, block_bytes=2000).collect()
     assert sorted(one) == sorted(many) and any(x["contaminated"] for x in one)
+
+
+def test_many_blocks_are_one_python_node(spark, sf_dir, monkeypatch):
+    documents = queries.table(spark, sf_dir, "documents")
+    benchmark = queries.table(spark, sf_dir, "benchmark")
+    size = sum(len((t or "").encode()) for _, t in set(benchmark.select("item_id", "text").collect()))
+    assert len(decontaminate.write_blocks(benchmark, 13, size // 50)) > 20
+    many = decontaminate.contamination(documents, benchmark, block_bytes=size // 50)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(many.collect()) == sorted(decontaminate.contamination(documents, benchmark).collect())
+
+
+def test_normalising():
+    r = random.Random(9)
+    for _ in range(300):
+        t = "".join(r.choice(["a", "B", " ", "  ", ".", "ß", "\n", "\0", "1"]) for _ in range(r.randint(0, 12)))
+        assert decontaminate.normalised(t) == b" " + b" ".join(decontaminate.words(t)) + b" "
