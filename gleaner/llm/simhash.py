@@ -4,18 +4,22 @@ A document's fingerprint has, for each of 64 bits, the majority among the
 XXH64 hashes of its word shingles.  Documents link if their fingerprints differ
 in at most ``radius`` bits; components of links are the groups.
 
-Equal fingerprints are one node.  A pivot table holds the Hamming distances of
-each fingerprint to fixed reference fingerprints.  By the triangle inequality a
-pair within the radius differs by no more than the radius in every coordinate,
-so a pair whose maximum coordinate difference is larger is discarded; for the
-others the fingerprints are compared.
-
-Pivots alone would have to look at all pairs.  Which pairs they look at comes
-from equal segments: of radius + 2 segments of the bits, a pair within the
-radius has two equal ones, so it meets in the bucket of those two.  A bucket
-with more than ``HOT`` fingerprints is not compared but split anew: by the same
-rule over the bits that its members do not yet share.  Nothing is left out.
-Links that join what a task has already joined are not emitted.
+Equal fingerprints are one node.  The pivot table holds, once for each of them,
+the Hamming distances to fixed reference fingerprints, a byte each; it is made
+and stored with the distinct fingerprints and goes wherever they go.  By the
+triangle inequality a pair within the radius differs by no more than the radius
+in every coordinate.  So inside a bucket fingerprints are sorted by their first
+coordinate, and each is paired only with those up to ``radius`` beyond it; a
+pair whose maximum difference over the other coordinates is larger is discarded;
+the fingerprints of the survivors are compared.
+
+Distances of random fingerprints to a pivot lie within a few bits of 32, so by
+pivots alone nearly all would be paired.  Buckets come from equal segments: of
+radius + 2 segments of the bits, a pair within the radius has two equal ones, so
+it meets in the bucket of those two.  A bucket with more than ``HOT``
+fingerprints is not searched but split anew: by the same rule over the bits that
+its members do not yet share.  Nothing is left out.  Links that join what a task
+has already joined are not emitted.
 
 Cases: a null or empty text has fingerprint 0 and links like any other; texts
 of fewer words than a shingle are one shingle; a null doc_id ranks last
@@ -43,7 +47,9 @@ SEED = 42
 RADIUS = 4
 #: Fingerprints of a bucket that are compared in one task; more are split by further bits.
 HOT = 1000
-N_PIVOTS = 24
+#: Distances are a byte each, eight to a column.
+N_PIVOTS = 16
+TABLE = [f"t{k}" for k in range(N_PIVOTS // 8)]
 #: Fixed reference fingerprints.
 PIVOTS = np.array([random.Random(i).getrandbits(64) for i in range(N_PIVOTS)], np.uint64)
 
@@ -97,21 +103,29 @@ def bucket_masks(mask: int, radius: int) -> list[int]:
     return [a | b for a, b in itertools.combinations(segments(mask, radius + 2), 2)]
 
 
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """Distances of fingerprints to the pivots, a row each."""
+    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :])
+
+
 class PivotTable:
-    """Distances of fingerprints to the pivots, and the test on pairs."""
+    """The test on pairs by their distances to the pivots; ``distances`` are computed only if none are given."""
 
-    def __init__(self, fps: np.ndarray):
+    def __init__(self, fps: np.ndarray, distances: np.ndarray | None = None):
         self.fps = fps
-        self.distances = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+        self.distances = (pivot_table(fps) if distances is None else distances).astype(np.int8)
+        self.looked = self.survived = 0
 
     def close(self, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
         """Which of the pairs (i, j) are within the radius.  Coordinates are compared a few at a time, then the survivors themselves."""
         left = np.arange(len(i))
+        self.looked += len(i)
         for k in range(0, N_PIVOTS, 4):
             if not len(left):
                 return left
             gap = np.abs(self.distances[i[left], k : k + 4] - self.distances[j[left], k : k + 4]).max(axis=1)
             left = left[gap <= radius]
+        self.survived += len(left)
         return left[np.bitwise_count(self.fps[i[left]] ^ self.fps[j[left]]) <= radius]
 
 
@@ -134,16 +148,21 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _roots(parent)
 
 
-def link_sorted(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``groups`` that connect all that lies within the radius, without most of the redundant ones."""
+def link_sorted(groups: np.ndarray, table: PivotTable, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal ``groups`` that connect all that lies within the radius, without most of the redundant ones.
+
+    Within a run rows are sorted by their first coordinate, so each is paired with those after it until the coordinate is too far.
+    """
+    fps, coordinate = table.fps, table.distances[:, 0]
     n = len(fps)
-    table, parent = PivotTable(fps), np.arange(n)
+    parent = np.arange(n)
     run = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if n else np.zeros(0, np.int64)
     ends = np.repeat(np.r_[run[1:], n], np.diff(np.r_[run, n])) if n else run
     left, right = [], []
     alive, lag = np.arange(n), 1
     while len(alive):
         alive = alive[alive + lag < ends[alive]]
+        alive = alive[coordinate[alive + lag] - coordinate[alive] <= radius]
         i = alive[parent[alive] != parent[alive + lag]]
         found = i[table.close(i, i + lag, radius)]
         if len(found):
@@ -156,63 +175,80 @@ def link_sorted(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bucket and fingerprint columns of sorted batches, in pieces that never cut a bucket."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """Columns (bucket first) of sorted batches, in pieces that never cut a bucket."""
+    held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        held.append([c.to_numpy() for c in batch.columns])
         size += batch.num_rows
         if size >= rows:
-            g, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            g = columns[0]
             cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
             if cut:
-                yield g[:cut], f[:cut]
-            held, size = [(g[cut:], f[cut:])], len(g) - cut
+                yield [c[:cut] for c in columns]
+            held, size = [[c[cut:] for c in columns]], len(g) - cut
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the pivot table to fingerprints."""
+    for batch in batches:
+        packed = pivot_table(batch.column("fp").to_numpy().view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(packed[:, k]) for k in range(len(TABLE)))], names=[*batch.schema.names, *TABLE])
+
+
+def with_pivots(distinct: DataFrame) -> DataFrame:
+    """Add the pivot table to a table of fingerprints ``fp``."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in distinct.dtypes)
+    return distinct.mapInArrow(_tabled, schema + "".join(f", {t} long" for t in TABLE))
 
 
 def _put(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint with every bucket that it falls into, and the bits that the members of that bucket need not share."""
+    """Each fingerprint and its pivot table with every bucket that it falls into, and the bits that the members of that bucket need not share."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 20_000):
-            fp, within, open_ = (batch.column(i).slice(begin, 20_000).to_numpy().view(np.uint64) for i in range(3))
+            fp, within, open_, *table = (c.slice(begin, 20_000).to_numpy().view(np.uint64) for c in batch.columns)
             out: list[tuple[np.ndarray, ...]] = []
             for mask in np.unique(open_).tolist():
                 own = open_ == mask
                 for m in bucket_masks(mask, radius):
                     bucket = mix(fp[own] & np.uint64(m), 0) ^ mix(within[own] ^ np.uint64(m), 1)
-                    out.append((bucket, fp[own], np.full(len(bucket), mask & ~m, np.uint64)))
+                    out.append((bucket, fp[own], np.full(len(bucket), mask & ~m, np.uint64), *(t[own] for t in table)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out, strict=True)], names=["bucket", "fp", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out, strict=True)], names=["bucket", "fp", "open", *TABLE])
 
 
 def near_pairs(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Stored links (a, b) of distinct fingerprints ``fp`` that connect everything within the radius."""
+    """Stored links (a, b) of distinct fingerprints ``fp`` that connect everything within the radius.  A pivot table that comes with them is used."""
     hot = max(hot, 1 << (radius + 2))  # so that a crowded bucket always has bits left for every segment
     linked: DataFrame | None = None
-    level = distinct.select("fp", F.lit(0).cast("long").alias("within"), F.lit(-1).cast("long").alias("open"))
+    tabled = distinct if set(TABLE) <= set(distinct.columns) else with_pivots(distinct)
+    level = tabled.select("fp", F.lit(0).cast("long").alias("within"), F.lit(-1).cast("long").alias("open"), *TABLE)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _put(batches, radius)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups, fps in _whole_groups(batches):
-            a, b = link_sorted(groups, fps.view(np.uint64), radius)
+        for groups, fps, *table in _whole_groups(batches):
+            distances = np.stack(table, axis=1).view(np.uint8)
+            order = np.lexsort((distances[:, 0], groups))
+            a, b = link_sorted(groups[order], PivotTable(fps.view(np.uint64)[order], distances[order]), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     while True:
-        rows = level.mapInArrow(put, "bucket long, fp long, open long")
+        rows = stored(level.mapInArrow(put, "bucket long, fp long, open long" + "".join(f", {t} long" for t in TABLE)), "simhash-buckets")
         crowded = stored(rows.groupBy("bucket").count().where(F.col("count") > hot).select("bucket"), "simhash-crowded")
         done = crowded.isEmpty()
         few = rows if done else rows.join(crowded, "bucket", "left_anti")
-        found = few.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(link, "a long, b long")
+        found = few.select("bucket", "fp", *TABLE).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(link, "a long, b long")
         found = stored(found.distinct(), "simhash-links")
         linked = found if linked is None else linked.unionByName(found)
         if done:
             return linked
-        level = stored(rows.join(crowded, "bucket", "left_semi").select("fp", F.col("bucket").alias("within"), "open"), "simhash-level")
+        level = stored(rows.join(crowded, "bucket", "left_semi").select("fp", F.col("bucket").alias("within"), "open", *TABLE), "simhash-level")
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,15 +286,34 @@ def stars(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+#: Keys that hold more than this share of the rows are joined apart; there are fewer of them than one over it.
+SHARE = 1 / 5_000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows with a table that has each key once, and in column ``size`` how many rows the key has.
+
+    Rows of a key that many share don't meet in one task: such keys, fewer than
+    1 / SHARE by their definition, are broadcast; the others are joined by a
+    shuffle in which no key is large.
+    """
+    total = unique.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > max(total * SHARE, 1000)
+    held = stored(unique.where(large).drop(size), "simhash-large")
+    near = rows.join(F.broadcast(held), key)
+    far = rows.join(F.broadcast(held.select(key)), key, "left_anti").join(unique.where(~large).drop(size), key)
+    return near.unionByName(far)
+
+
 def components(marked: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
     """(doc_id, fp) with component_id, the least doc_id that links reach."""
-    distinct = stored(marked.groupBy("fp").agg(F.min(key).alias("low")), "simhash-distinct")
+    distinct = stored(with_pivots(marked.groupBy("fp").agg(F.min(key).alias("low"), F.count("*").alias("n"))), "simhash-distinct")
     forest = stars(near_pairs(distinct, radius))
-    rooted = distinct.join(forest.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.select("fp", "low", "n").join(forest.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stored(rooted, "simhash-rooted")
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = stored(rooted.join(least, "root").select("fp", "component_id"), "simhash-labels")
-    return marked.join(labels, "fp")
+    least = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")), "simhash-least")
+    labels = stored(join_unique(rooted.select("fp", "n", "root"), least, "root", "size").select("fp", "n", "component_id"), "simhash-labels")
+    return join_unique(marked, labels, "fp", "n")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", size: int = 4, radius: int = RADIUS) -> DataFrame:

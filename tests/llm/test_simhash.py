@@ -90,3 +90,27 @@ def test_pivots_discard_and_keep():
 def test_shares_nothing_but_segments():
     masks = simhash.bucket_masks((1 << 64) - 1, 4)
     assert len(masks) == 15 and all(any((m & d) == 0 for m in masks) for d in (sum(1 << b for b in random.Random(k).sample(range(64), 4)) for k in range(500)))
+
+
+def test_pivot_tables_are_made_once_and_discard(spark):
+    r = np.random.default_rng(8)
+    fps = np.unique(r.integers(0, 1 << 63, 4000).astype(np.uint64))
+    fps = np.concatenate((fps, fps[:300] ^ np.uint64(0b101)))
+    df = simhash.with_pivots(spark.createDataFrame([(int(f),) for f in fps], "fp long"))
+    for row in df.limit(50).collect():
+        packed = np.array([row[t] for t in simhash.TABLE], np.int64).view(np.uint8)
+        assert packed.tolist() == [(row["fp"] ^ int(p)).bit_count() for p in simhash.PIVOTS]
+    # One bucket: the sorted coordinate and the others leave few pairs to compare, and lose none.
+    distances = simhash.pivot_table(fps)
+    order = np.argsort(distances[:, 0], kind="stable")
+    table = simhash.PivotTable(fps[order], distances[order])
+    a, b = simhash.link_sorted(np.zeros(len(fps), np.int64), table, 4)
+    assert {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset((f, f ^ 5)) for f in fps[:300].tolist()}
+    assert table.looked < 0.8 * len(fps) ** 2 / 2 and table.survived < 0.05 * table.looked
+
+
+def test_large_keys_are_joined_apart(spark):
+    rows = spark.range(20_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS k")
+    unique = rows.groupBy("k").count().selectExpr("k", "count AS n", "k * 10 AS v")
+    got = simhash.join_unique(rows, unique, "k", "n")
+    assert sorted(got.columns) == ["id", "k", "v"] and got.count() == 20_000 and got.where("v <> k * 10").isEmpty()
