@@ -13,8 +13,10 @@ tokenizers library: it encodes each pre-token that a worker has not yet met,
 and the ids of known ones are copied.
 
 Cases: a null or empty text has the end id only; null keys come first; rows
-that repeat a key are adjacent records (ordered by their text), and a lookup
-gives the first of them and how many there are; an empty table gives no shards.
+that repeat a key follow one another, if need be over several shards, and a
+lookup gives the first record of the shard with that key and how many there are;
+an empty table gives no shards.  A key that many rows share is dealt to several
+tasks by a hash of the text.
 """
 
 from __future__ import annotations
@@ -219,6 +221,18 @@ class _ShardWriter:
         return done
 
 
+#: Quantiles of the keys that are looked at: a key at two of them, or null at that share of the rows, is common.
+QUANTILES = 200
+
+
+def key_order(rows: DataFrame) -> list:
+    """What range partitions are cut by: the key, and where a key is common also a hash of the text."""
+    ranks = [i / QUANTILES for i in range(QUANTILES + 1)]
+    cuts, nulls, total = rows.agg(F.percentile_approx("key", ranks, 4 * QUANTILES), F.count(F.when(F.col("key").isNull(), 1)), F.count("*")).first()
+    common = nulls * QUANTILES > total or len(set(cuts or [])) < len(cuts or [])
+    return [F.col("key").asc_nulls_first(), *([F.xxhash64("text").asc()] if common else [])]
+
+
 _LOADED: dict[str, IdEncoder] = {}
 
 
@@ -226,7 +240,8 @@ def write_shards(documents: DataFrame, path: str, folder: str, end_id: int, text
     """Encode all texts and write them in key order.  Gives the stored manifest: task, number, stem, n_records, n_ids, and base, the ids before the shard."""
     spec = documents.sparkSession.sparkContext.broadcast(describe(path))
     rows = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text"))
+    order = key_order(rows)
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     schema = "task int, number int, stem string, n_records long, n_ids long"
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
 

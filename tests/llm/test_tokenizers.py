@@ -156,3 +156,27 @@ def test_word_memory_is_bounded():
     for k in range(20):
         coder.encode([" ".join(f"w{k}x{i}" for i in range(300)) + " " + "z" * 5000])
     assert coder.memory.kept[1] < 5000 and len(coder.memory.pool) < 40_000
+
+
+def test_a_common_key_is_dealt_to_several_tasks(spark, tmp_path):
+    rows = [(None if i % 2 else i, f"text number {i}") for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for key in (None, 77):
+        docs = spark.createDataFrame([(key if k is None else k, t) for k, t in rows], "doc_id long, text string").repartition(8)
+        manifest = token_shards.write_shards(docs, BYTES, str(tmp_path / str(key)), 2)
+        per_task = [r[0] for r in manifest.groupBy("task").sum("n_records").select("sum(n_records)").collect()]
+        assert max(per_task) <= 2 * sorted(per_task)[len(per_task) // 2] and len(per_task) > 2
+        found = token_shards.read_documents(manifest).collect()
+        assert len(found) == 4000 and sum(r["key"] == key for r in found) in (2000, 2001)
+        keys = [r["key"] for r in sorted(found, key=lambda r: r["start"])]
+        assert keys == sorted(keys, key=lambda k: (k is not None, k))
+        want = {}
+        for k, t in [(key if k is None else k, t) for k, t in rows]:
+            want.setdefault(k, []).append(zlib.crc32(np.array([*LIBRARY.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()))
+        got = {}
+        for r in found:
+            got.setdefault(r["key"], []).append(r["ids_crc32"])
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(token_shards.key_order(spark.range(1000).selectExpr("id AS key", "'' AS text"))) == 1
+    assert len(token_shards.key_order(spark.range(0).selectExpr("id AS key", "'' AS text"))) == 1
