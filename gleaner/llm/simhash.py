@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import per_text
+from .joins import join_unique
 from .mphf import mix
 from .workspace import stored
 
@@ -286,25 +287,6 @@ def stars(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-#: Keys that hold more than this share of the rows are joined apart; there are fewer of them than one over it.
-SHARE = 1 / 5_000
-
-
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of rows with a table that has each key once, and in column ``size`` how many rows the key has.
-
-    Rows of a key that many share don't meet in one task: such keys, fewer than
-    1 / SHARE by their definition, are broadcast; the others are joined by a
-    shuffle in which no key is large.
-    """
-    total = unique.agg(F.sum(size)).first()[0] or 0
-    large = F.col(size) > max(total * SHARE, 1000)
-    held = stored(unique.where(large).drop(size), "simhash-large")
-    near = rows.join(F.broadcast(held), key)
-    far = rows.join(F.broadcast(held.select(key)), key, "left_anti").join(unique.where(~large).drop(size), key)
-    return near.unionByName(far)
-
-
 def components(marked: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
     """(doc_id, fp) with component_id, the least doc_id that links reach."""
     distinct = stored(with_pivots(marked.groupBy("fp").agg(F.min(key).alias("low"), F.count("*").alias("n"))), "simhash-distinct")

@@ -10,7 +10,7 @@ and rows that repeat the largest page_id of a payload are all responses (nothing
 tells them apart); a null url leaves out the target header; control characters
 and spaces in a url are percent-encoded; an empty table gives no archive and an
 empty result.  Groups of any size are handled: the largest page_id comes from a
-pre-aggregated maximum, and the join with it is one that Spark splits.
+pre-aggregated maximum, and payloads that many pages share get it by a broadcast.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import join_unique
 from .workspace import AtomicFile, fresh, open_input, stored
 
 #: The skippable frame that holds a dictionary, and ordinary frames.
 DICTIONARY_FRAME = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
+FRAME_MAGIC, DICTIONARY_MAGIC = b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: An archive is closed when it has so many bytes.
@@ -102,6 +104,22 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
+def read_dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
+    """The dictionary of a leading frame: one Zstandard frame, whole, or a dictionary as it is.  Raises WarcError for anything else."""
+    if content[:4] == FRAME_MAGIC:
+        unpacker = zstandard.ZstdDecompressor().decompressobj()
+        try:
+            plain = unpacker.decompress(content)
+        except zstandard.ZstdError as error:
+            raise WarcError(f"the dictionary cannot be read: {error}") from error
+        if not unpacker.eof or unpacker.unused_data:
+            raise WarcError("the dictionary's frame ends early or late")
+        return zstandard.ZstdCompressionDict(plain)
+    if content[:4] != DICTIONARY_MAGIC:
+        raise WarcError("the leading frame holds no dictionary")
+    return zstandard.ZstdCompressionDict(content)
+
+
 def frames(stream) -> Iterator[bytes]:
     """The records of an archive, one per frame; ``stream`` is a binary file.
 
@@ -134,17 +152,15 @@ def frames(stream) -> Iterator[bytes]:
             joined = b"".join(pieces)
             content, buffer = joined[:size], joined[size:]
             if magic == DICTIONARY_FRAME and first:
-                if content[:4] == b"\x28\xb5\x2f\xfd":
-                    content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
-                dictionary = zstandard.ZstdCompressionDict(content)
+                dictionary = read_dictionary(content)
             first = False
             continue
         first = False
-        if magic != 0xFD2FB528:
+        if buffer[:4] != FRAME_MAGIC:
             raise WarcError("no Zstandard frame")
-        unpacker = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
         parts = []
         try:
+            unpacker = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
             while True:
                 parts.append(unpacker.decompress(buffer))
                 if unpacker.eof:
@@ -197,10 +213,10 @@ def write_archives(pages: DataFrame, folder: str, samples: int = 500) -> DataFra
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    chosen = stored(rows.groupBy("digest").agg(F.max("page_id").alias("response_id")), "warc-responses")
+    chosen = stored(rows.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")), "warc-responses")
     dictionary = train_dictionary([r[0].encode()[: 16 << 10] for r in rows.select(F.substring("html", 1, 16 << 10)).limit(samples).collect()])
     shared = spark.sparkContext.broadcast(dictionary)
-    marked = rows.join(chosen, "digest").select("page_id", "url", "html", "response_id")
+    marked = join_unique(rows, chosen, "digest", "copies").select("page_id", "url", "html", "response_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = ArchiveWriter(folder, TaskContext.get().partitionId(), shared.value), []

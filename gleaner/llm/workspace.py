@@ -2,7 +2,8 @@
 
 Everything that one task writes and another reads goes below the folder named
 by ``spark.checkpoint.dir``, which the driver and all executors can reach.
-A folder of our own is only chosen where that setting is empty (tests).
+A folder of our own is only chosen where that setting is empty and the session
+runs in one process (tests); on a cluster an empty setting is an error.
 """
 
 from __future__ import annotations
@@ -18,7 +19,12 @@ UNSET_DIR = "/tmp/checkpoints"
 
 def root(spark: SparkSession) -> str:
     """The shared folder of this session, as a path or URI without final slash."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or UNSET_DIR).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        folder = UNSET_DIR
+    return folder.rstrip("/")
 
 
 def fresh(spark: SparkSession, label: str) -> str:

@@ -32,6 +32,22 @@ def test_frames_need_their_dictionary():
     assert list(warc.frames(io.BytesIO(raw))) == [records[1]] and list(warc.frames(io.BytesIO(b""))) == []
 
 
+@pytest.mark.parametrize("content", [b"garbage", b"", b"\x28\xb5\x2f\xfd garbage", zstandard.ZstdCompressor().compress(b"text " * 99)[:-4], zstandard.ZstdCompressor().compress(b"text " * 99) + b"x", b"\x37\xa4\x30\xec broken"])
+def test_dictionaries_that_cannot_be_read(content):
+    record = warc.record("response", 1, "http://a/", b"x", "A" * 32)
+    data = (0x184D2A5D).to_bytes(4, "little") + len(content).to_bytes(4, "little") + content + zstandard.ZstdCompressor().compress(record)
+    with pytest.raises(warc.WarcError):
+        list(warc.frames(io.BytesIO(data)))
+
+
+def test_a_common_payload(spark, tmp_path):
+    pages = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "CASE WHEN id % 2 = 0 THEN 'same' ELSE concat('page ', id) END AS html")
+    rows = warc.read_archives(spark, warc.write_archives(pages, str(tmp_path / "w"))).collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(3000))
+    assert {(r["record_type"], r["refers_to"]) for r in rows if r["page_id"] % 2 == 0 and r["page_id"] != 2998} == {("revisit", 2998)}
+    assert all(r["record_type"] == "response" for r in rows if r["page_id"] % 2 or r["page_id"] == 2998)
+
+
 def test_headers_and_lengths():
     good = warc.record("response", 5, "http://a/ b", b"body", warc.base32_sha1(b"body"))
     headers, block = warc.parse_record(good)
