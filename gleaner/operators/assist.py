@@ -6,6 +6,7 @@ a reply.  No client comes with the library; tests use a deterministic one.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,6 +49,40 @@ def ask(df: DataFrame, prompt_column: str, client: Client, out: str) -> DataFram
     return df.mapInArrow(run, ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [f"`{out}` string"]))
 
 
+#: Least seconds between two calls to a provider.
+SPACING = 6.0
+
+
+def spaced(client: Client, seconds: float = SPACING, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Client:
+    """A client whose calls in one task begin at least so many seconds apart."""
+
+    def make() -> Callable[[str], str]:
+        answer, last = client(), [-seconds]
+
+        def call(p: str) -> str:
+            wait = last[0] + seconds - clock()
+            if wait > 0:
+                sleep(wait)
+            last[0] = clock()
+            return answer(p)
+
+        return call
+
+    return make
+
+
+def ask_spaced(df: DataFrame, prompt_column: str, client: Client, out: str, seconds: float = SPACING) -> DataFrame:
+    """:func:`ask` for a provider that allows one call at a time: all prompts go through one task, so its pace holds for the whole cluster."""
+    return ask(df.repartition(1), prompt_column, spaced(client, seconds), out)
+
+
+def with_summaries(parts: Column, summaries: Column) -> Column:
+    """Parts (id, text) with the summary at the same position; null where there are fewer summaries."""
+    both = F.arrays_zip(parts.alias("part"), summaries.alias("summary"))
+    known = F.filter(both, lambda x: x["part"].isNotNull())
+    return F.transform(known, lambda x: F.struct(x["part"]["id"].alias("id"), x["part"]["text"].alias("text"), x["summary"].alias("summary")))
+
+
 def tag(df: DataFrame, model: str, instruction: str, client: Client, key: str = "metadata") -> DataFrame:
     """generated_content[key] from the model unless it has 25 bytes already."""
     have = F.coalesce("generated_content", F.create_map().cast("map<string,string>"))

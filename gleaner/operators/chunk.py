@@ -133,3 +133,9 @@ def pack_paragraphs(text: str, most: int, overlap: int) -> list[str]:
             held = f"{held}\n\n{block}" if held else block
         before = block
     return [*out[:-1], f"{out[-1]} {held}"] if out and held else out or [held]
+
+
+def split_long(text: str, most: int, overlap: int) -> list[str]:
+    """Packed paragraphs of a text whose blank lines, white space on them included, are one blank line each; parts are trimmed, those of one character or none left out."""
+    parts = pack_paragraphs(re.sub(r"\n\s+\n", "\n\n", text), most, overlap)
+    return [p for p in map(str.strip, parts) if len(p) > 1]

@@ -53,3 +53,18 @@ def recent(df: DataFrame, published: str, days: int, now: Column | None = None)
     """Documents published at most so many days before now (seconds since 1970)."""
     now = F.unix_timestamp() if now is None else now
     return df.where(F.coalesce(F.col(published) >= now - days * 86400, F.lit(False)))
+
+
+#: Bits of a document's processing flags that a regulator's document has from the start.
+REGULATOR_FLAGS = 2 | 4 | 8 | 16 | 128 | 256
+
+
+def with_flags(flags: Column, bits: int = REGULATOR_FLAGS) -> Column:
+    """Processing flags with some bits set; none is ever cleared."""
+    return F.coalesce(flags, F.lit(0)).bitwiseOR(F.lit(bits))
+
+
+def long_enough(df: DataFrame, sites: DataFrame, text: str = "text", default: int = 400) -> DataFrame:
+    """Documents whose text has at least the bytes that their site (module, min_length) asks for; sites without a number ask for the default."""
+    wanted = df.join(sites.select("module", "min_length"), "module", "left")
+    return wanted.where(F.octet_length(text) >= F.coalesce("min_length", F.lit(default))).drop("min_length")

@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from .. import dictionaries as d
 from ..functions import dates, extract, hashing, html, text
-from ..operators import assist, chain, chunk, classify, crawl, dedupe, graph, harvest, listing, store, vector
-from ..sources import documents, market
+from ..operators import assist, chain, chunk, classify, crawl, dedupe, graph, harvest, history, listing, store, vector
+from ..sources import archives, documents, market
 from ..streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,12 +292,6 @@ def k06_fact_counts(spark, sf_dir):
     return dedupe.union_all([t.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n") for name, t in tables.items()])
 
 
-@query("SELECT user_id, min_by(event_type, event_id) AS event_type, min(event_id) AS event_id FROM (SELECT user_id, event_type, event_id FROM events WHERE event_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1) GROUP BY user_id")
-def k03_insert_ignore(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").where("event_id % 10 <> 0").select("user_id", "event_type", "event_id")
-    return store.insert_ignore(ev.limit(0), ev, ["user_id"], ["event_id"])
-
-
 @query("""SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 1 OR user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1)
           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def k04_upsert_last_wins(spark, sf_dir):
@@ -453,16 +447,6 @@ def j09_positional_parts(spark, sf_dir):
     return parts.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), F.size("p").cast("long").alias("parts"))
 
 
-@query("SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
-def j10_previous_version(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"))
-
-
-@query("SELECT n_nationkey, r_name, CAST(page AS INTEGER) AS page FROM nation, region, range(1, 4) t(page)")
-def j11_section_pages(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(table(spark, sf_dir, "region").select("r_name")).select("n_nationkey", "r_name", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"))
-
-
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def r05_stream_windows(spark, sf_dir):
     agg = streams.tumbling(streams.event_stream(spark, sf_dir))
@@ -610,23 +594,6 @@ def m03_token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", dates.token_estimate(F.size(F.split(F.trim("text"), r"\s+"))).alias("n"))
 
 
-@query("""WITH t AS (SELECT conv_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: length(w) >= 3)) AS w FROM conversations WHERE turn < 2),
-    f AS (SELECT conv_id, w, count(*) AS n FROM t GROUP BY 1, 2), g AS (SELECT conv_id + 1 AS conv_id, w, n FROM f)
-    SELECT f.conv_id, round(sum(f.n * g.n) / sqrt((SELECT sum(n * n) FROM f x WHERE x.conv_id = f.conv_id) * (SELECT sum(n * n) FROM g y WHERE y.conv_id = f.conv_id)), 6) AS cosine FROM f JOIN g USING (conv_id, w) GROUP BY f.conv_id""".replace("\\\\", "\\"))
-def a12_cosine(spark, sf_dir):
-    w = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.length(x) >= 3)
-    f = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", F.explode(w).alias("w")).groupBy("conv_id", "w").agg(F.count("*").alias("n"))
-    norm = f.groupBy("conv_id").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
-    g, gn = f.select((F.col("conv_id") + 1).alias("conv_id"), "w", F.col("n").alias("m")), norm.select((F.col("conv_id") + 1).alias("conv_id"), F.col("q").alias("p"))
-    both = f.join(g, ["conv_id", "w"]).groupBy("conv_id").agg(F.sum(F.col("n") * F.col("m")).alias("s"))
-    return both.join(norm, "conv_id").join(gn, "conv_id").select("conv_id", F.round(F.col("s") / F.sqrt(F.col("q") * F.col("p")), 6).alias("cosine"))
-
-
-@query("SELECT conv_id, '{\"model\":\"m\",\"messages\":[{\"role\":\"user\",\"content\":' || to_json(text) || '}],\"temperature\":0.0}' AS payload FROM conversations WHERE turn = 0")
-def c17_request_payload(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", assist.payload("chatgpt", "m", F.col("text")).alias("payload"))
-
-
 @query("SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY user_id")
 def r03_stream_first_wins(spark, sf_dir):
     firsts = streams.event_stream(spark, sf_dir).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
@@ -670,3 +637,228 @@ def s18_circulars(spark, sf_dir):
 def t34_notification_summary(spark, sf_dir):
     summary = F.expr("concat('RBI/', 2000 + p_size, '-', 10 + p_size % 80, '/', p_partkey, ' DOR.No.', p_size, '/2024-25 July ', 1 + p_size % 28, ', 2024 The Chairman of ', p_name, ' Madam / Dear Sir')")
     return table(spark, sf_dir, "part").select("p_partkey", listing.notification_summary(summary).alias("s")).select("p_partkey", "s.*")
+
+
+@query("""SELECT user_id, event_type, event_id FROM events
+          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10 <> 0, event_id) = 1""")
+def k03_history_first_wins(spark, sf_dir):
+    """Every tenth event is the history, the others arrive; both are read whole."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    history_ = store.insert_ignore(ev.limit(0), ev.where("event_id % 10 = 0"), ["user_id"], ["event_id"])
+    return store.insert_ignore(history_, ev.where("event_id % 10 <> 0"), ["user_id"], ["event_id"])
+
+
+@query(r"""WITH f AS (SELECT conv_id, w, count(*) AS n FROM (SELECT conv_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: length(w) >= 3)) AS w FROM conversations) GROUP BY 1, 2),
+    q AS (SELECT conv_id, sum(n * n) AS q FROM f GROUP BY 1)
+    SELECT f.conv_id, round(sum(f.n * g.n) / sqrt(CAST(any_value(a.q) AS DOUBLE) * any_value(b.q)), 6) AS cosine
+    FROM f JOIN f g ON g.conv_id = f.conv_id - 1 AND g.w = f.w JOIN q a ON a.conv_id = f.conv_id JOIN q b ON b.conv_id = f.conv_id - 1 GROUP BY f.conv_id""")
+def a12_cosine_conversations(spark, sf_dir):
+    """Cosine of the term counts of each conversation, all turns, and the one before it."""
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.length(x) >= 3)
+    f = table(spark, sf_dir, "conversations").select("conv_id", F.explode(w).alias("w")).groupBy("conv_id", "w").agg(F.count("*").alias("n"))
+    norm = f.groupBy("conv_id").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
+    after = (F.col("conv_id") + 1).alias("conv_id")
+    both = f.join(f.select(after, "w", F.col("n").alias("m")), ["conv_id", "w"]).groupBy("conv_id").agg(F.sum(F.col("n") * F.col("m")).alias("s"))
+    return both.join(norm, "conv_id").join(norm.select(after, F.col("q").alias("p")), "conv_id").select("conv_id", F.round(F.col("s") / F.sqrt(F.col("q").cast("double") * F.col("p")), 6).alias("cosine"))
+
+
+@query("SELECT conv_id, turn, '{\"model\":\"m\",\"messages\":[{\"role\":\"user\",\"content\":' || to_json(text) || '}],\"temperature\":0.0}' AS payload FROM conversations")
+def c17_request_payloads(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", assist.payload("chatgpt", "m", F.col("text")).alias("payload"))
+
+
+@query("""SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous,
+            coalesce(regexp_replace(text, '\\s+', '', 'g') <> regexp_replace(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '\\s+', '', 'g'), false) AS differs FROM conversations""".replace("\\\\", "\\"))
+def j10_previous_versions(spark, sf_dir):
+    docs = history.previous_versions(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], ["turn", "text"])
+    differs = history.changed(docs).select("conv_id", "turn", F.lit(True).alias("differs"))
+    return docs.join(differs, ["conv_id", "turn"], "left").select("conv_id", "turn", F.col("previous.text").alias("previous"), F.coalesce("differs", F.lit(False)).alias("differs"))
+
+
+@query("""SELECT conv_id, i - 1 AS at, p[i] AS text, CASE WHEN i < len(p) THEN left(p[i], 20) END AS summary
+          FROM (SELECT conv_id, list(text ORDER BY turn) AS p FROM conversations GROUP BY conv_id), range(1, 10000) t(i) WHERE i <= len(p)""")
+def j09_parts_with_summaries(spark, sf_dir):
+    """Parts zipped with one summary fewer."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    parts = F.transform("t", lambda x, i: F.struct(i.cast("string").alias("id"), x["text"].alias("text")))
+    summaries = F.transform(F.slice("t", F.lit(1), F.size("t") - 1), lambda x: F.substring(x["text"], 1, 20))
+    zipped = turns.select("conv_id", F.explode(assist.with_summaries(parts, summaries)).alias("x"))
+    return zipped.select("conv_id", F.col("x.id").cast("long").alias("at"), "x.text", "x.summary")
+
+
+@query("SELECT c_custkey, coalesce(max(o_orderkey), 0) AS version FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def a03_next_version(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return history.next_version(rows, "c_custkey", "o_orderkey")
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END AS INTEGER) | 414 AS flags FROM part")
+def p15_flags(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", classify.with_flags(F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("int"))).alias("flags"))
+
+
+@query("SELECT page_id, strlen(html) AS n FROM pages WHERE strlen(html) >= CASE page_id % 3 WHEN 0 THEN 3000 WHEN 1 THEN 2000 ELSE 400 END")
+def p07_long_enough(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.concat(F.lit("site"), (F.col("page_id") % 3).cast("string")).alias("module"))
+    sites = spark.createDataFrame([("site0", 3000), ("site1", 2000), ("site2", None)], "module string, min_length int")
+    return classify.long_enough(pages, sites, "html").select("page_id", F.octet_length("html").cast("long").alias("n"))
+
+
+def _file_safe_sql(x: str) -> str:
+    for old, new in d.FILE_NAME_REPLACEMENTS:
+        x = "replace({}, '{}', '{}')".format(x, old.replace("'", "''"), new)
+    return x
+
+
+@query(f"SELECT page_id, right({_file_safe_sql("regexp_extract(url, '([^/]*)$', 1)")}, 64) AS tail FROM (SELECT page_id, url || '?a=' || repeat('x y/', page_id % 3) || repeat('long-tail;', 9) || '.html' AS url FROM pages)")
+def g08_last_characters(spark, sf_dir):
+    url = F.expr("concat(url, '?a=', repeat('x y/', cast(page_id % 3 as int)), repeat('long-tail;', 9), '.html')")
+    return table(spark, sf_dir, "pages").select("page_id", archives.last_characters(url).alias("tail"))
+
+
+@query("SELECT p_partkey, bit_count(xor(CAST(p_partkey AS BIGINT) * 2654435761, CAST(p_size AS BIGINT) * 40503)) AS distance FROM part")
+def t08_hamming(spark, sf_dir):
+    a, b = F.col("p_partkey").cast("long") * 2654435761, F.col("p_size").cast("long") * 40503
+    return table(spark, sf_dir, "part").select("p_partkey", hashing.hamming(a, b).alias("distance"))
+
+
+@query("SELECT p_partkey, 'name:' || trim(regexp_replace(lower('  ' || p_name || ' & ' || p_brand || '!'), '[^\p{L}\p{N}]+', ' ', 'g')) AS entity_id FROM part")
+def t10_provisional_id(spark, sf_dir):
+    name = F.concat(F.lit("  "), "p_name", F.lit(" & "), "p_brand", F.lit("!"))
+    return table(spark, sf_dir, "part").select("p_partkey", graph.entity_id(F.struct(F.lit(None).cast("string").alias("entity_id"), name.alias("surface_form"))).alias("entity_id"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN regexp_extract(url, '^([a-zA-Z]+:)', 1) || '//cdn.example/' || page_id
+             WHEN 2 THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || '/p/' || page_id END AS target FROM pages""")
+def t12_resolved_links(spark, sf_dir):
+    href = F.expr("CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('//cdn.example/', page_id) WHEN 2 THEN concat('/p/', page_id) ELSE 'mailto:x' END")
+    return table(spark, sf_dir, "pages").select("page_id", text.resolve_href(href, F.col("url")).alias("target"))
+
+
+@query("SELECT p_partkey, replace(replace(p_name || ' & ' || p_size, ' ', '%20'), '&', '%26') AS body FROM part")
+def t15_form_encoding(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.url_encode(F.concat("p_name", F.lit(" & "), F.col("p_size").cast("string"))).alias("body"))
+
+
+@query("SELECT DISTINCT url FROM pages")
+def a04_known_urls(spark, sf_dir):
+    """URLs of a crawl's history that a candidate list, the history twice over, doesn't extend."""
+    known = table(spark, sf_dir, "pages").select("url")
+    again = dedupe.union_all([known, known])
+    return again.distinct().join(crawl.not_retrieved(again, known), "url", "left_anti")
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS types FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY user_id")
+def a05_first_seen_order(spark, sf_dir):
+    seen = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    ordered = seen.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first", "event_type"))).alias("x"))
+    return ordered.select("user_id", F.array_join(F.array_distinct(F.transform("x", lambda e: e["event_type"])), ",").alias("types"))
+
+
+@query("SELECT page_id, strlen(html) AS bytes, left(html, CAST(least(strlen(html) - 1, 62000) AS BIGINT)) AS body FROM pages WHERE strlen(html) > 0")
+def g06_prompt_body(spark, sf_dir):
+    """The body of a prompt is cut at 62,000 characters, and one short of the text's bytes: that is the feature."""
+    pages = table(spark, sf_dir, "pages").where(F.octet_length("html") > 0)
+    return pages.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.substring(assist.capped(F.col("html")), F.lit(1), F.octet_length("html") - 1).alias("body"))
+
+
+@query("SELECT o_orderkey, CAST(epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS BIGINT) AS ts, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day FROM orders")
+def d09_midnight_and_back(spark, sf_dir):
+    midnight = F.unix_timestamp(F.to_timestamp(F.to_date("o_orderdate")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", midnight.alias("ts"), F.date_format(F.timestamp_seconds(midnight), "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS bank, CAST(o_orderdate AS DATE) AS market, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) END AS insurance, CAST(o_orderdate AS DATE) AS exchange FROM orders")
+def d03_regulator_dates(spark, sf_dir):
+    """Each order's date written as the regulators write it, in turn, and read again."""
+    day = F.to_date("o_orderdate")
+    written = F.element_at(F.array(*[F.date_format(day, f) for f in ("MMM dd, yyyy", "MMMM d yyyy", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    bank = dates.central_bank_date(F.concat(F.lit(" ,"), written, F.lit(". ")))
+    insurance = dates.insurance_regulator_date(F.when(F.col("o_orderkey") % 5 > 0, F.date_format(day, "dd-MM-yyyy")).otherwise("dd-mm-yyyy"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", bank.alias("bank"), dates.market_regulator_date(F.date_format(day, "MMM dd, yyyy")).alias("market"), insurance.alias("insurance"), dates.exchange_date(F.upper(F.date_format(day, "dd-MMM-yyyy"))).alias("exchange"))
+
+
+@query("SELECT vec_id, len(embedding) AS n, true AS same FROM embeddings")
+def m05_vector_blobs(spark, sf_dir):
+    """Each vector as a blob of 32-bit floats and back."""
+    both = table(spark, sf_dir, "embeddings").withColumn("blob", vector.to_blob("embedding")).withColumn("back", vector.from_blob("blob"))
+    same = F.forall(F.arrays_zip("embedding", "back"), lambda x: x["embedding"].cast("float") == x["back"])
+    return both.select("vec_id", (F.octet_length("blob") / 4).cast("long").alias("n"), same.alias("same"))
+
+
+@query("SELECT vec_id, i AS at, round(v / greatest(sqrt(q), 1e-9), 5) AS x FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) JOIN (SELECT vec_id, sum(v * v) AS q FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1) USING (vec_id)")
+def a13_unit_components(spark, sf_dir):
+    unit = vector.l2_normalise(F.transform("embedding", lambda x: x.cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(unit).alias("at", "x")).select("vec_id", (F.col("at") + 1).cast("long").alias("at"), F.round("x", 5).alias("x"))
+
+
+@query("""SELECT strftime(l_shipdate, '%Y-%m-%d') AS trade_date, l_partkey AS instrument, l_extendedprice AS close_price FROM lineitem
+          QUALIFY row_number() OVER (PARTITION BY l_partkey, strftime(l_shipdate, '%Y-%m-%d') ORDER BY l_orderkey, l_linenumber) = 1""")
+def k11_price_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("trade_date"), F.col("l_partkey").alias("instrument"), F.col("l_extendedprice").alias("close_price"), "l_orderkey", "l_linenumber")
+    return store.insert_ignore(rows.limit(0), rows, ["trade_date", "instrument"], ["l_orderkey", "l_linenumber"]).select("trade_date", "instrument", "close_price")
+
+
+@query(r"""SELECT p_partkey, strpos(text, m) - 1 AS char_offset, m AS phrase FROM
+           (SELECT p_partkey, text, unnest(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}') || regexp_extract_all(text, '\d{1,2} June 2023')) AS m FROM """ + PARTS + ")")
+def d06_date_offsets(spark, sf_dir):
+    """Dates with the places where they stand."""
+    found = extract.with_extracts(stories(spark, sf_dir), ["dates_referenced"]).select("p_partkey", "text", F.explode("dates_referenced").alias("d"))
+    iso = F.format_string("%04d-%02d-%02d", "d.year", "d.month", "d.day")
+    long_ = F.concat(F.col("d.day").cast("string"), F.lit(" June 2023"))
+    at = F.col("d.char_offset").cast("long")
+    return found.select("p_partkey", at.alias("char_offset"), F.when(F.substring("text", at.cast("int") + 1, F.lit(10)) == iso, iso).otherwise(long_).alias("phrase"))
+
+
+@query("SELECT p_partkey, p_name || ', ' || p_brand AS name, p_retailprice AS close_price, p_size AS volume FROM part")
+def s24_quoted_prices(spark, sf_dir):
+    """Price files of every brand, with commas and quotes inside fields, read by the header."""
+    line = F.format_string('%s,"%s, ""%s""",%s,%d', F.col("p_partkey").cast("string"), "p_name", "p_brand", F.col("p_retailprice").cast("string"), F.col("p_size").cast("int"))
+    files = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), line.alias("line")).groupBy("file").agg(F.concat(F.lit("key,name,close,volume\n"), F.array_join(F.collect_list("line"), "\n")).alias("content"))
+    rows = market.rows_of_contents(files)
+    get = lambda k: F.try_element_at("row", F.lit(k))
+    return rows.select(get("key").cast("long").alias("p_partkey"), F.replace(get("name"), F.lit('"'), F.lit("")).alias("name"), get("close").cast("double").alias("close_price"), get("volume").cast("long").alias("volume"))
+
+
+@query("SELECT p_partkey, p_retailprice AS close_price FROM part WHERE p_size % 2 = 0")
+def k14_prices_in_texts(spark, sf_dir):
+    """Documents of one module hold a price file as their text, those of another don't count."""
+    body = F.format_string("TradDt,key,close\n2024-01-02,%d,%s\n", F.col("p_partkey").cast("long"), F.col("p_retailprice").cast("string"))
+    docs = table(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, "MOD_Market").otherwise("mod_news").alias("module"), F.col("p_partkey").cast("string").alias("unique_id"), body.alias("text"))
+    rows = market.prices_in_texts(docs, ["mod_market"])
+    return rows.select(F.try_element_at("row", F.lit("key")).cast("long").alias("p_partkey"), F.try_element_at("row", F.lit("close")).cast("double").alias("close_price"))
+
+
+@query("SELECT CAST(max(o_orderdate) AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
+def g09_first_good_day(spark, sf_dir):
+    """The walk back over days: the latest one whose file is a price file; the days after it have only an error page."""
+    day = F.to_date("o_orderdate")
+    files = table(spark, sf_dir, "orders").groupBy(day.alias("day")).agg(F.concat(F.lit("TradDt,key\n"), F.array_join(F.collect_list(F.concat_ws(",", F.lit("d"), F.col("o_orderkey").cast("string"))), "\n")).alias("content"))
+    later = files.select(F.date_add("day", 4000).alias("day"), F.lit("<html>not found</html>").alias("content"))
+    good = market.first_good_day(files.unionByName(later)).withColumn("file", F.col("day").cast("string"))
+    return market.rows_of_contents(good).groupBy("file").agg(F.count("*").alias("n")).select(F.to_date("file").alias("day"), "n")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS publish_date, 'Prices ' || strftime(o_orderdate, '%Y-%m-%d') AS title, CAST(epoch(o_orderdate) AS BIGINT) AS ts, count(*) AS n FROM orders GROUP BY o_orderdate")
+def s19_price_documents(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    files = table(spark, sf_dir, "orders").groupBy(day.alias("day")).agg(F.concat(F.lit("TradDt,key"), F.array_join(F.collect_list(F.concat(F.lit("\nd,"), F.col("o_orderkey").cast("string"))), "")).alias("content")).withColumn("url", F.lit("u"))
+    docs = market.price_file_documents(files, "mod_prices", "Prices")
+    return docs.select("publish_date", "title", F.col("publish_date_ms").alias("ts"), (F.size(F.split("text", "\n")) - 1).cast("long").alias("n"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def r04_keyed_dedupe(spark, sf_dir):
+    """Events delivered twice over; state with a watermark lets each in once."""
+    twice = streams.event_stream(spark, sf_dir).select("ts", "user_id", "event_type", "event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    once = streams.once(twice, ["event_id"], "3650 days")
+    got = streams.run_available(once.select("user_id", "event_type", "event_id"), f"once_{uuid.uuid4().hex}", "append")
+    return got.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, r_name, page, '/list?section=' || n_nationkey || '&page=' || page AS url FROM nation, region, range(1, 4) t(page)")
+def j11_page_requests(spark, sf_dir):
+    """Requests for the first three pages of every section."""
+    sections = table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(table(spark, sf_dir, "region").select("r_name"))
+    pages = sections.select("n_nationkey", "r_name", F.explode(F.sequence(F.lit(1), F.lit(3)).cast("array<bigint>")).alias("page"))
+    return pages.withColumn("url", F.concat(F.lit("/list?section="), F.col("n_nationkey").cast("string"), F.lit("&page="), F.col("page").cast("string")))

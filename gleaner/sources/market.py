@@ -100,3 +100,27 @@ def price_history(spark: SparkSession, start: str, end: str) -> DataFrame:
     """day and url of the price files of all weekdays from start to end."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
     return days.where(F.weekday("day") < 5).select("day", price_file_url(F.col("day")).alias("url"))
+
+
+def first_good_day(files: DataFrame) -> DataFrame:
+    """The latest day of (day, content) whose content looks like a CSV file."""
+    return files.where(F.coalesce(looks_like_csv(F.col("content")), F.lit(False))).agg(F.max_by(F.struct("day", "content"), "day").alias("x")).where("x is not null").select("x.*")
+
+
+def rows_of_contents(files: DataFrame) -> DataFrame:
+    """file, at and row (a map by header) of CSV contents held in a column, as :func:`rows_by_header` gives them for files."""
+    lines = files.select("file", F.posexplode(records(F.col("content"))).alias("at", "fields"))
+    return rows_by_header(lines)
+
+
+def prices_in_texts(docs: DataFrame, modules: list[str]) -> DataFrame:
+    """Rows of the price files that documents of some modules hold as their text (file is the document's id)."""
+    wanted = docs.where(F.lower("module").isin(modules) & F.coalesce(looks_like_csv(F.col("text")), F.lit(False)))
+    return rows_of_contents(wanted.select(F.col("unique_id").alias("file"), F.col("text").alias("content")))
+
+
+def price_file_documents(files: DataFrame, module: str, title: str) -> DataFrame:
+    """Price files (day, url, content) as documents: the whole file is the text; files that are no CSV are left out."""
+    good = files.where(F.coalesce(looks_like_csv(F.col("content")), F.lit(False)))
+    day = F.date_format("day", "yyyy-MM-dd")
+    return good.select(F.lit(module).alias("module"), F.concat(F.lit(title + " "), day).alias("title"), "url", F.concat(F.lit(module + "_"), day).alias("unique_id"), day.alias("publish_date"), F.unix_seconds(F.col("day").cast("timestamp")).alias("publish_date_ms"), F.col("content").alias("text"))

@@ -17,6 +17,11 @@ def tumbling(events: DataFrame, size: str = "1 day", late: str = "1 day") -> Dat
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def once(events: DataFrame, keys: list[str], late: str) -> DataFrame:
+    """Each key once, as long as it comes again within the watermark's delay; state of older keys is forgotten."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
 def run_available(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there and give its result table."""
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
