@@ -25,9 +25,10 @@ def _known(labels: DataFrame, label: str, learn: Column) -> DataFrame:
 def sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int, text: str = "text") -> DataFrame:
     """text and label of at most ``bound`` labelled documents, chosen by a hash of their ids.
 
-    Where a document has several labels the larger counts.
+    Where a document has several labels the larger counts, of several texts with
+    one id the least, so an id is one row however often it occurs.
     """
     # The sample's size is bounded by the parameter, so it can be broadcast.
     chosen = F.broadcast(_known(labels, label, learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
     texts = documents.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return texts.join(chosen, "doc_id").select("text", "label")
+    return texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")

@@ -8,6 +8,7 @@ runs in one process (tests); on a cluster an empty setting is an error.
 
 from __future__ import annotations
 
+import atexit
 import posixpath
 import uuid
 
@@ -28,8 +29,26 @@ def root(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nobody has used before."""
-    return f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nobody has used before.  What lies there is deleted when the driver's process ends, or by :func:`release`."""
+    path = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def release() -> None:
+    """Delete all intermediate tables and files of this process.  Results that still have to read them are lost."""
+    while _MADE:
+        try:
+            files, path = locate(_MADE.pop())
+            files.delete_dir(path)
+        except (OSError, ValueError):
+            continue  # never written, or another's task
+
+
+atexit.register(release)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -150,3 +150,33 @@ def test_statistics_of_long_texts_in_steps(step):
         assert quality._long_word_statistics(data, step) == quality._word_statistics(raw)
         starts = np.array([0, len(raw) // 3, len(raw) // 3, len(raw)])
         assert np.array_equal(quality._class_counts(data, starts, step), quality._class_counts(data, starts))
+
+
+def test_scores_of_the_queries_text_by_text(spark, sf_dir):
+    """Each score from the model and one text alone: a walk down the trees, and the weighed hits."""
+    frame, labels = queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels")
+    docs = {r["doc_id"]: r["text"] or "" for r in frame.collect()}
+    forest, model = queries.quality_model(frame, labels), queries.toxicity_model(frame, labels)
+    for r in queries.op10_quality(spark, sf_dir).collect():
+        x = quality.statistics(pa.array([docs[r["doc_id"]]]))[0]
+        raw = forest.base
+        for t in range(len(forest.feature)):
+            at = 0
+            while forest.left[t, at] != at:
+                at = forest.left[t, at] if x[forest.feature[t, at]] <= forest.threshold[t, at] else forest.right[t, at]
+            raw += forest.value[t, at]
+        assert abs(r["score"] - 1 / (1 + np.exp(-raw))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
+    for r in queries.op9_toxicity(spark, sf_dir).collect():
+        want = 0.0
+        if model.weights is not None:
+            want = 1 / (1 + np.exp(-float(np.r_[1.0, toxicity.Finder(model).features([docs[r["doc_id"]]])[0]] @ model.weights)))
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_a_repeated_id_is_one_labelled_row(spark):
+    from gleaner.llm import labelled
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (None, "d")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, known, "toxic", labelled.remainder("doc_id", 4) >= 0, 10).collect()
+    assert sorted(tuple(r) for r in rows) == [("", 1), ("c", 0)]
