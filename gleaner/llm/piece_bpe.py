@@ -23,6 +23,7 @@ as for any projection.
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import re
 from array import array
@@ -52,6 +53,12 @@ def _one_byte(error: UnicodeDecodeError):
 codecs.register_error("gleaner_one_byte", _one_byte)
 
 
+def _as_dict(table: Table64) -> dict[int, int]:
+    """A table whose keys were put in with 2 added."""
+    used = np.flatnonzero(table.keys)
+    return dict(zip((table.keys[used] - np.uint64(2)).tolist(), table.values[used].tolist(), strict=True))
+
+
 class PieceBpe:
     """Encoder and decoder for a SentencePiece BPE model with byte fallback."""
 
@@ -86,7 +93,7 @@ class PieceBpe:
         self.inside = re.compile("([^" + re.escape("".join(sorted(inner))) + "])")
         self.strange = re.compile("[^" + re.escape("".join(sorted(inner - self.direct_only))) + "]").search
         self._index()
-        self.memory = WordMemory(self.words_ids, "<u4")
+        self.memory = WordMemory(self.words_ids, "<u4", 300_000)
 
     def _index(self) -> None:
         """Tokens by rank (single characters first, then in the order of merging), their trie, last merges and pairs that merge."""
@@ -124,9 +131,20 @@ class PieceBpe:
         self.pairs = Table64(2 * len(pairs))
         self.pairs.put(np.array(list(pairs), np.uint64) + np.uint64(2), np.fromiter(pairs.values(), np.int64))
         self.fits = Table64(1 << 16)
-        self.walk = {a << 21 | c: n for (a, c), n in nodes.items()}
-        self.walk_pairs, self.walk_fits = pairs, {}
-        self.plain = [x.tolist() for x in (self.accept, self.ids, self.sizes, self.left, self.right)]
+        self.walk_fits: dict[int, bool] = {}
+
+    # The same tables for one look-up at a time, made when a long word first needs them.
+    @functools.cached_property
+    def walk(self) -> dict[int, int]:
+        return _as_dict(self.edges)
+
+    @functools.cached_property
+    def walk_pairs(self) -> dict[int, int]:
+        return _as_dict(self.pairs)
+
+    @functools.cached_property
+    def plain(self) -> list[list[int]]:
+        return [x.tolist() for x in (self.accept, self.ids, self.sizes, self.left, self.right)]
 
     def rank(self, a: str, b: str) -> float:
         return self.score.get(a + b, NEVER)

@@ -30,7 +30,7 @@ from .boosting import Forest, fit
 SAMPLE = 20_000
 PARTS = 8
 #: Bytes of text that are looked at in one step.
-STEP = 4 << 20
+STEP = 2 << 20
 _BLANK = b" \t\n\r\x0b\x0c"
 
 

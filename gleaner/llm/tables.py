@@ -10,7 +10,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Multiplier of the hash of words.
 _STEP = 0xD6E8FEB86659FD93
 #: Characters of a text that are worked on at a time, if it has borders to be cut at.
-SECTION = 1 << 20
+SECTION = 1 << 19
 
 
 def _grown(x: np.ndarray, n: int) -> np.ndarray:
@@ -126,11 +126,11 @@ class WordMemory:
     def forget(self) -> None:
         self.table = Table64(1 << 16)
         self.first = np.zeros(1 << 12, np.int64)
-        self.count = np.zeros(1 << 12, np.int64)
+        self.count = np.zeros(1 << 12, np.int32)
         self.pool = np.zeros(1 << 14, self.kind)
         # The words themselves: where their characters begin, and how many they are.
-        self.spelt = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
+        self.spelt = np.zeros(1 << 12, np.int32)
+        self.length = np.zeros(1 << 12, np.int32)
         self.letters = np.zeros(1 << 14, np.uint32)
         self.words = self.filled = self.written = 0
         self.kept = (0, 0)
@@ -172,6 +172,8 @@ class WordMemory:
     def entries(self, text: str, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The entry of each word of a text that is cut at ``starts``; ``codes`` are its code points.  Entries hold until the next call."""
         self.words, self.filled = self.kept
+        if len(self.pool) > 4 * max(self.room, self.filled):  # what a very long word needed
+            self.pool = self.pool[: self.filled].copy()
         if self.words > self.limit or self.filled > self.room:
             self.forget()
         sizes = np.diff(starts, append=len(codes))
@@ -202,7 +204,7 @@ class WordMemory:
     def gather(self, entries: np.ndarray) -> np.ndarray:
         """The sequences of entries, one after another."""
         sizes = self.count[entries]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         return self.pool[np.repeat(self.first[entries] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
@@ -212,5 +214,5 @@ def code_points(text: str) -> np.ndarray:
 
 def document_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive ``starts`` (one more for the end)."""
-    run = np.concatenate(([0], np.cumsum(values)))
+    run = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return run[starts[1:]] - run[starts[:-1]]
