@@ -157,17 +157,17 @@ class WordMemory:
         self.letters[self.written : total] = codes[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
         self.written = total
 
-    def _mistaken(self, found: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Which of the words that were found are others than those held."""
-        same = self.length[found] == sizes
-        rows = np.flatnonzero(same)
-        n = sizes[rows]
-        before = np.cumsum(n) - n
-        within = np.arange(int(n.sum()))
-        differ = np.flatnonzero(codes[np.repeat(starts[rows] - before, n) + within] != self.letters[np.repeat(self.spelt[found[rows]] - before, n) + within])
+    def _mistaken(self, found: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, positions: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """Which of the short words are others than those held that were found for them."""
+        wrong = short & (self.length[found] != sizes)
+        places = np.repeat(self.spelt[found] - starts, sizes)
+        places += positions
+        # What stands for a long word here is of no interest.
+        differ = np.flatnonzero(self.letters.take(places, mode="clip") != codes)
         if len(differ):
-            same[rows[np.searchsorted(before, differ, "right") - 1]] = False
-        return np.flatnonzero(~same)
+            wrong[np.searchsorted(starts, differ, "right") - 1] = True
+            wrong &= short
+        return np.flatnonzero(wrong)
 
     def entries(self, text: str, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The entry of each word of a text that is cut at ``starts``; ``codes`` are its code points.  Entries hold until the next call."""
@@ -177,7 +177,8 @@ class WordMemory:
         if self.words > self.limit or self.filled > self.room:
             self.forget()
         sizes = np.diff(starts, append=len(codes))
-        within = np.minimum(np.arange(len(codes)) - np.repeat(starts, sizes), self.longest)
+        positions = np.arange(len(codes))
+        within = np.minimum(positions - np.repeat(starts, sizes), self.longest)
         hashes = np.add.reduceat((codes + np.uint32(1)).astype(np.uint64) * self.powers[within], starts) * _ODD ^ sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         found = self.table.get(hashes)
         long_ = sizes > self.longest
@@ -194,8 +195,8 @@ class WordMemory:
             self.table.put(distinct, added)
             found[new] = added[back]
         self.kept = (self.words, self.filled)
-        short = np.flatnonzero(~long_)
-        wrong = short[self._mistaken(found[short], codes, starts[short], sizes[short])]
+        found[long_] = 0
+        wrong = self._mistaken(found, codes, starts, sizes, positions, ~long_)
         passing = np.concatenate((np.flatnonzero(long_), wrong))
         if len(passing):
             found[passing] = computed(passing)
