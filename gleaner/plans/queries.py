@@ -722,7 +722,7 @@ def t08_hamming(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", hashing.hamming(a, b).alias("distance"))
 
 
-@query("SELECT p_partkey, 'name:' || trim(regexp_replace(lower('  ' || p_name || ' & ' || p_brand || '!'), '[^\p{L}\p{N}]+', ' ', 'g')) AS entity_id FROM part")
+@query(r"SELECT p_partkey, 'name:' || trim(regexp_replace(lower('  ' || p_name || ' & ' || p_brand || '!'), '[^\p{L}\p{N}]+', ' ', 'g')) AS entity_id FROM part")
 def t10_provisional_id(spark, sf_dir):
     name = F.concat(F.lit("  "), "p_name", F.lit(" & "), "p_brand", F.lit("!"))
     return table(spark, sf_dir, "part").select("p_partkey", graph.entity_id(F.struct(F.lit(None).cast("string").alias("entity_id"), name.alias("surface_form"))).alias("entity_id"))

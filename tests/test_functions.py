@@ -1,5 +1,6 @@
 """Known values and literal texts."""
 
+import random
 from datetime import date
 from xml.etree import ElementTree
 
@@ -79,6 +80,33 @@ def test_types_and_filter(spark):
     assert classify.keep_wanted(typed).count() == 2
 
 
+def test_greedy_rule_in_blocks(spark, tmp_path):
+    """A family of near copies, strays and a chain, in blocks of every size, against the rule applied one by one; null keys lead nothing."""
+    rng = random.Random(5)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    centre, chain = rng.getrandbits(64), [rng.getrandbits(64)]
+    for _ in range(40):
+        chain.append(flip(chain[-1], 2))
+    prints = [flip(centre, rng.randint(0, 3)) for _ in range(450)] + [rng.getrandbits(64) for _ in range(60)] + chain
+    rng.shuffle(prints)
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    first, want, reps = {}, {}, []
+    for i, p in enumerate(prints):
+        if first.setdefault(p, i) == i:
+            near = [r for r in reps if (prints[r] ^ p).bit_count() <= 3]
+            if near:
+                want[i] = near[0]
+            else:
+                reps.append(i)
+    assert len(want) > 100 < len(reps)
+    marked = spark.createDataFrame([*rows, (None, rows[0][1] ^ 1)], "doc_id long, simhash long")
+    for least in (7, 100, 4096):
+        assert {r["node"]: r["leader"] for r in dedupe.leaders(marked, least=least).collect()} == want
+    ends = dedupe.block_ends(marked.where("doc_id is not null").select("simhash", F.col("doc_id").alias("first")), 50)
+    assert ends == sorted(ends) and 2 <= len(ends) <= 4
+    assert dedupe.leaders(marked.limit(0)).collect() == []
+
+
 def test_greedy_rule_is_not_components(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "first_a long, first_b long")
     assert sorted(map(tuple, dedupe.greedy_representatives(pairs).collect())) == [(2, 1), (4, 3)]
