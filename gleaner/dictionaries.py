@@ -134,6 +134,9 @@ MARKET_REGULATOR_PROSPECTUS = r"(Prospectus|Addendum to DRHP)"
 MARKET_REGULATOR_FILINGS = r"(/filings/public-issues/|/filings/takeovers/|/filings/rights-issues/|/filings/invit-public-issues/)"
 DEFAULT_TYPE = "regulatory-notification"
 
+# What a new document of a regulator is classified by; each is "other" until something better is known.
+CLASSIFICATION_KEYS = ["channel", "customer_type", "function", "market_type", "occupation", "product_type", "risk_type"]
+
 # Columns of the daily price file, by header, with their types.
 PRICE_COLUMNS = {
     "TradDt": ("trade_date", "string"), "BizDt": ("biz_date", "string"), "Sgmt": ("segment", "string"), "Src": ("src", "string"),

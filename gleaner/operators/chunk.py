@@ -23,6 +23,8 @@ class ChunkParams:
     most: int = 500
     window: int = 5
     threshold: float = 0.3
+    #: False: a sentence ends at any . ! ? once it has three words, whatever follows.
+    before_space: bool = True
 
 
 def sentences(text: str) -> list[str]:
@@ -31,6 +33,22 @@ def sentences(text: str) -> list[str]:
     return [s for s in (p.strip() for p in re.split(r"(?<=[.!?])(?=[ \"'])", flat)) if len(s.split()) >= 3]
 
 
+def sentences_by_words(text: str, least: int = 3) -> list[str]:
+    """Sentences that end at any . ! ? once they have three words; a shorter rest is left out."""
+    flat = " ".join(text.split())
+    out: list[str] = []
+    start = words = 0
+    for m in re.finditer(r"[^.!?]*[.!?]|[^.!?]+$", flat):
+        piece = m.group()
+        # A piece that goes on without a space continues the word before it.
+        joined = m.start() > start and flat[m.start() - 1] != " " and piece[0] != " "
+        words += len(piece.split()) - joined
+        if words >= least:
+            out.append(flat[start : m.end()].strip())
+            start, words = m.end(), 0
+    return out
+
+
 def terms(part: list[str]) -> Counter:
     """Frequencies of alphabetic words of three bytes and more without stop words."""
     w = (_NO_LETTER.sub("", x).lower() for s in part for x in s.split())
@@ -92,7 +110,7 @@ def fixed_windows(text: str, most: int) -> list[str]:
 
 def semantic_chunks(text: str, p: ChunkParams = ChunkParams()) -> list[str]:
     """Chunks that end where the topic shifts; those under the least size are dropped."""
-    parts = sentences(text)
+    parts = sentences(text) if p.before_space else sentences_by_words(text)
     if len(parts) <= 2 * p.window:
         whole = " ".join(parts)
         n = len(whole.split())

@@ -49,6 +49,17 @@ def keep_wanted(df: DataFrame, wanted: tuple[str, ...] = ("speech", "regulatory-
     return df.where(test)
 
 
+def for_insights(df: DataFrame, modules: tuple[str, ...]) -> DataFrame:
+    """Wanted documents of some modules, whose names are compared without regard to case; documents without a module go."""
+    return keep_wanted(df.where(F.lower("module").isin([m.lower() for m in modules])))
+
+
+def default_classification(kind: Column | str = d.DEFAULT_TYPE) -> Column:
+    """The map that a document starts with: every key is "other", but for its type."""
+    others = [F.lit(x) for k in d.CLASSIFICATION_KEYS for x in (k, "other")]
+    return F.create_map(*others, F.lit("doc_type"), F.lit(kind) if isinstance(kind, str) else kind)
+
+
 def recent(df: DataFrame, published: str, days: int, now: Column | None = None) -> DataFrame:
     """Documents published at most so many days before now (seconds since 1970)."""
     now = F.unix_timestamp() if now is None else now

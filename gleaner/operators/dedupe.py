@@ -23,7 +23,7 @@ from ..functions.hashing import hamming, with_simhash
 
 LEAST_BYTES, RADIUS = 200, 3
 #: Fingerprints of the first block of the greedy rule, and keys of a sample that finds the other blocks' ends.
-LEAST_BLOCK, SAMPLE = 4096, 1024
+LEAST_BLOCK, SAMPLE = 16384, 1024
 _SEGMENTS = [((1 << 13) - 1) << (13 * k) if k < 4 else ((1 << 64) - 1) ^ ((1 << 52) - 1) for k in range(5)]
 
 

@@ -697,6 +697,21 @@ def p15_flags(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", classify.with_flags(F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("int"))).alias("flags"))
 
 
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, lower('Desk_' || o_orderstatus) AS module, lower(o_orderpriority) AS kind FROM orders)
+    WHERE module IN ('desk_f', 'desk_p') AND (o_orderkey % 5 = 0 OR contains(kind, 'urgent') OR contains(kind, 'high'))""")
+def p13_for_insights(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Desk_"), "o_orderstatus").alias("module"), F.lower("o_orderpriority").alias("kind"))
+    named = F.when(F.col("kind").contains("urgent") | F.col("kind").contains("high"), F.concat(F.lit("speech "), F.col("kind"))).otherwise(F.col("kind"))
+    typed = orders.withColumn("classification", F.when(F.col("o_orderkey") % 5 != 0, classify.default_classification(named)))
+    return classify.for_insights(typed, ("DESK_F", "desk_p")).select("o_orderkey")
+
+
+@query("""SELECT p_partkey, key, CASE WHEN key = 'doc_type' THEN lower(p_type) ELSE 'other' END AS value FROM part,
+    (SELECT unnest(['channel', 'customer_type', 'function', 'market_type', 'occupation', 'product_type', 'risk_type', 'doc_type']) AS key)""")
+def p14_default_classification(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(classify.default_classification(F.lower("p_type"))))
+
+
 @query("SELECT page_id, strlen(html) AS n FROM pages WHERE strlen(html) >= CASE page_id % 3 WHEN 0 THEN 3000 WHEN 1 THEN 2000 ELSE 400 END")
 def p07_long_enough(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "html", F.concat(F.lit("site"), (F.col("page_id") % 3).cast("string")).alias("module"))

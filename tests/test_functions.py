@@ -100,7 +100,7 @@ def test_greedy_rule_in_blocks(spark, tmp_path):
                 reps.append(i)
     assert len(want) > 100 < len(reps)
     marked = spark.createDataFrame([*rows, (None, rows[0][1] ^ 1)], "doc_id long, simhash long")
-    for least in (7, 100, 4096):
+    for least in (60, 16384):
         assert {r["node"]: r["leader"] for r in dedupe.leaders(marked, least=least).collect()} == want
     ends = dedupe.block_ends(marked.where("doc_id is not null").select("simhash", F.col("doc_id").alias("first")), 50)
     assert ends == sorted(ends) and 2 <= len(ends) <= 4
@@ -141,6 +141,17 @@ def test_robots_and_retries(spark):
 
 
 def test_chunks():
+    def by_words(s):
+        out, held = [], ""
+        for c in " ".join(s.split()):
+            held += c
+            if c in ".!?" and len(held.split()) >= 3:
+                out.append(held.strip())
+                held = ""
+        return out + [held.strip()] * (len(held.split()) >= 3)
+
+    for s in ("", "A b.c d. E f", "At 3.14 p.m. it ended!Then more came... And so on? no", "a.b.c d e.f g h i", "x . y . z . w", "!!! a b c"):
+        assert chunk.sentences_by_words(s) == by_words(s)
     assert chunk.sentences("One two three. Too short. And now this one ends!") == ["One two three.", "And now this one ends!"]
     assert chunk.merge_small(["a b", "c", "d e f", "g"], 3) == ["a b c", "d e f g"]
     assert all(len(c.split()) <= 500 for c in chunk.semantic_chunks(" ".join(f"word{i} goes on here." for i in range(900))))
